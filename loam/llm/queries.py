@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_contamination, items_digest
 from .exact_dedup import exact_dedup
+from .lang_id import identify
 from .line_dedup import line_dedup
 from .mixing import mix
 from .token_store import token_store
+from .toxicity import toxicity
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +90,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_sentences"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_store": op3_token_store,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op8_lang_id": op8_lang_id,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2, "op4_decontamination": OP4, "op5_mixing": OP5, "op9_line_dedup": OP9}
