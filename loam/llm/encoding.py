@@ -47,16 +47,18 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 1_500_000, special: tuple[str, ...] = ()) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, processors
 
         self.library = Tokenizer.from_file(path)
         if special:
             self.library.add_special_tokens(list(special))
         self.library.encode_special_tokens = not special
+        self.library.post_processor = processors.ByteLevel(trim_offsets=False)  # tokens cover their spaces
+        self.special = special
         self.model = self.library.model
         self.model._resize_cache(0)  # ours remembers more
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.parts, self.pieces, self.covered = _Known(self._part, limit), _Known(self._piece, limit), _Known(self._piece_spans, limit)
+        self.parts, self.pieces, self.covered = _Known(self._part, limit), _Known(self._piece, limit), _Known(self._piece_spans, limit // 3)
 
     def _whole(self, text: str):
         return self.library.encode(text, add_special_tokens=False)
@@ -70,6 +72,8 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of what is between two cuts; None if the cuts may not be the library's."""
+        if not piece:
+            return b""
         core = piece[1:] if piece[:1] == " " else piece
         if core.isalpha() or piece == "\n":
             return self.parts[piece]
@@ -80,6 +84,8 @@ class Encoder:
 
     def _piece_spans(self, piece: str):
         core = piece[1:] if piece[:1] == " " else piece
+        if not piece:
+            return b"", np.zeros((0, 2), np.int32), 0
         if piece != "\n" and (not core or core[0].isspace() or core[-1].isspace()):
             return None
         e = self._whole(piece)
@@ -87,7 +93,7 @@ class Encoder:
 
     @staticmethod
     def _cut(text: str) -> list[str | None]:
-        if "\0" in text or "\n\n" in text or text[0] == "\n" or text[-1] == "\n":
+        if "\0" in text or "\n\n" in text or text[0] == "\n":
             return [None]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
