@@ -12,11 +12,16 @@ from .exact_dedup import exact_dedup
 from .lang_id import identify
 from .line_dedup import line_dedup
 from .mixing import mix
+from .ngram_jaccard import ngram_jaccard
 from .token_counts import count_tokens
 from .token_store import token_store
 from .toxicity import toxicity
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -123,6 +128,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_store": op3_token_store,
     "op4_decontamination": op4_decontamination,
