@@ -1,10 +1,79 @@
-"""A corpus pipeline of five of the training-data operators."""
+"""A corpus pipeline of five of the training-data operators.
+
+Each stage takes all that its predecessor kept. ``run`` writes what a stage returns to the shared
+folder and reads it again for the next one, so a lost executor costs one stage's work at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.llm import decontaminate, lang_id, mixing, ngram_jaccard, token_store
+from loam.llm.common import materialise, table
+from loam.llm.queries import tokenizer_path
+
+#: Ids of dropped documents that are broadcast (8 bytes each); with more, documents and ids are shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Those without letters, and those that score below the
+    calibrated floor, go; so does nothing if no language can be learned."""
+    model = lang_id.train(docs)
+    if model is None:
+        return docs
+    return lang_id.predict(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at a Jaccard similarity of 0.75, the one with the smallest
+    id. Rows that repeat an id and text become one; rows without an id stay unless others link to them."""
+    found = materialise(ngram_jaccard.ngram_jaccard(docs), "groups")
+    gone = materialise(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "again")
+    if again.limit(1).count():
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    return kept
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the passages of 10 or more words that benchmark items share; documents that are mostly
+    such passages go."""
+    cleaned = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    mixed = mixing.mix(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in a content-addressed store, as read back from it."""
+    return token_store.token_store(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+#: The first two stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs

@@ -47,14 +47,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size * copies``. A source's taken words differ from its target by at most half the size of the
     documents that share the boundary position. Positions are hashes of the id (of the text where
     the id is null), so reruns agree and rows with one id are taken together. A null source is a
-    source; an empty table gives no rows; other columns are ignored.
+    source; an empty table gives no rows; columns that aren't in ``carry`` are ignored.
     """
     text, ident = F.col(text_col), F.col(id_col)
     key = F.coalesce(ident.cast("string"), F.concat(F.lit("text:"), text), F.lit("null"))
     position = F.conv(F.substring(F.md5(key), 1, LEVELS * BITS // 4), 16, 10).cast("bigint")
-    rows = docs.select(ident.alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), position.alias("pos"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    if not carry:
-        rows = materialise(rows, "sizes")
+    whole_rows = docs.select(ident.alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), position.alias("pos"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    rows = materialise(whole_rows.select("doc_id", "source", "size", "pos"), "sizes")
     targets = materialise(source_targets(rows, weights, share, repeats), "targets")
     # whole copies that every document of a source gives, and the budget for one more
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
@@ -63,6 +62,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         state = materialise(_refine(rows, state, k), f"cut{k}")
     cuts = state.select(F.col("source").alias("of"), "source_size", "target", "base", "cut")
     copies = F.col("base") + (F.col("pos") < F.col("cut")).cast("bigint")
+    rows = whole_rows if carry else rows
     return rows.join(cuts, rows["source"].eqNullSafe(cuts["of"])).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
