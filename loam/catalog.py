@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.aggregates import exact_sum
 from .operators import relational as R
 from .plans.dialect import tokens
 
@@ -139,7 +140,7 @@ def dataframe_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, join, aggregate, rank and top-k through the DataFrame functions."""
     orders = R.where(_table(spark, sf_dir, "orders"), F.col("o_orderstatus") != "P")
     joined = R.join(orders, _table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    totals = R.aggregate(joined, ["c_mktsegment", "o_orderpriority"], F.count(F.lit(1)).alias("n"), R.exact_sum("o_totalprice").alias("total"), having="n > 1")
+    totals = R.aggregate(joined, ["c_mktsegment", "o_orderpriority"], F.count(F.lit(1)).alias("n"), exact_sum("o_totalprice").alias("total"), having="n > 1")
     placed = R.ranked(totals, ["c_mktsegment"], [F.col("total").desc(), F.col("o_orderpriority")], place="row_number")
     return R.order(R.project(placed, "c_mktsegment", "o_orderpriority", "n", "total", "place"), F.col("total").desc(), F.col("c_mktsegment"), F.col("o_orderpriority"), limit=12)
 

@@ -1,0 +1 @@
+"""Aggregates and expressions that the engine adds to Spark's."""

@@ -1,0 +1 @@
+"""Relational operators as DataFrame functions."""

@@ -29,11 +29,6 @@ def aggregate(df: DataFrame, keys: Sequence[str | Column], *measures: Column, ha
     return out if having is None else out.where(having)
 
 
-def exact_sum(column: str | Column, scale: int = 2) -> Column:
-    """A sum that doesn't depend on the order of rows: in decimals, as double."""
-    return F.sum(F.col(column).cast(f"decimal(18,{scale})") if isinstance(column, str) else column.cast(f"decimal(18,{scale})")).cast("double")
-
-
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Catalyst and adaptive execution choose the strategy and split skewed keys."""
     return left.crossJoin(right) if how == "cross" else left.join(right, on, how)

@@ -1,0 +1 @@
+"""Where tables are read from."""

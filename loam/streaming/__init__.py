@@ -1,0 +1 @@
+"""The engine has no streaming operators; its tables are batch tables."""
