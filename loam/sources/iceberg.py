@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -20,6 +22,8 @@ _PRIMITIVES = {
 }
 #: Status of a manifest entry: 0 existing, 1 added, 2 deleted.
 DELETED = 2
+#: Up to so many manifests are read by the driver.
+FEW_MANIFESTS = 8
 
 
 class IcebergError(ValueError):
@@ -192,8 +196,9 @@ class IcebergTable:
             raise IcebergError(f"missing file: {where}")
         return files.read(self.spark, where)
 
-    def files(self, snapshot_id: int | None = None) -> list[DataFile]:
-        """The live data files of a snapshot. Manifests may be listed in Avro or JSON, or be the list itself."""
+    def files(self, snapshot_id: int | None = None, predicate=None) -> list[DataFile]:
+        """The live data files of a snapshot that ``predicate`` can't skip. Manifests may be listed in
+        Avro or JSON, or be the list itself. Of many manifests, executors read and prune the entries."""
         snapshot, columns = self.metadata.snapshot(snapshot_id), self.metadata.schema
         if snapshot is None:
             return []
@@ -202,6 +207,7 @@ class IcebergTable:
         else:  # v1 tables may name their manifests directly
             listed = json.dumps([{"manifest_path": x} for x in snapshot.get("manifests", [])]).encode()
         found: list[DataFile | None] = []
+        manifests: list[str] = []
         rows = json.loads(listed) if listed.lstrip()[:1] == b"[" else list(records(listed))
         for row in rows:
             if "data_file" in row:
@@ -213,12 +219,28 @@ class IcebergTable:
             if where.lower().endswith((".parquet", ".orc")):
                 found.append(DataFile(where, where.rsplit(".", 1)[1].upper(), FileStats(records=row.get("added_rows_count"), types={c.name: c.type for c in columns if isinstance(c.type, str)})))
             else:
+                manifests.append(where)
+        if len(manifests) <= FEW_MANIFESTS:
+            for where in manifests:
                 found += [data_file(x, columns) for x in records(self._read(where))]
-        return [x for x in found if x]
+            return [x for x in found if x and not skip(x.stats, predicate)]
+        return [x for x in found if x and not skip(x.stats, predicate)] + self._pruned_by_executors(manifests, predicate)
+
+    def _pruned_by_executors(self, manifests: list[str], predicate) -> list[DataFile]:
+        columns = self.metadata.schema
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    live = [x for e in records(content.as_py()) if (x := data_file(e, columns)) and not skip(x.stats, predicate)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.path for x in live], pa.string()), pa.array([x.format for x in live], pa.string()), pa.array([x.stats.records for x in live], pa.int64())], names=["path", "format", "records"])
+
+        content = self.spark.read.format("binaryFile").load([self._resolve(x) for x in manifests]).select("content")
+        return [DataFile(x.path, x.format, FileStats(records=x.records)) for x in content.mapInArrow(read, "path string, format string, records bigint").collect()]
 
     def scan(self, predicate=None, snapshot_id: int | None = None) -> DataFrame:
         """The table's rows, without the files that ``predicate`` (of ``plans.predicate``) can skip."""
-        kept = [x for x in self.files(snapshot_id) if not skip(x.stats, predicate)]
+        kept = self.files(snapshot_id, predicate)
         if not kept:
             return self.spark.createDataFrame([], self.metadata.struct)
         if other := {x.format for x in kept} - {"PARQUET"}:

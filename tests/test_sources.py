@@ -120,6 +120,17 @@ def test_iceberg_reads_and_prunes(spark, lake):
     assert len(engine.sql("SELECT *").inputFiles()) == 5
 
 
+def test_many_manifests_are_read_by_executors(spark, lake, monkeypatch):
+    import loam.sources.iceberg as module
+
+    path, df = lake
+    few = IcebergTable.load(spark, path).files(predicate=("<", "id", 90))
+    monkeypatch.setattr(module, "FEW_MANIFESTS", 0)
+    t = IcebergTable.load(spark, path)
+    assert {x.path for x in t.files(predicate=("<", "id", 90))} == {x.path for x in few} and 0 < len(few) < 5
+    assert rows(t.scan()) == rows(df)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.sampled_from(["id", "price", "k"]), st.sampled_from(["<", "<=", ">", ">=", "=", "<>"]), st.integers(-5, 210))
 def test_pruned_answers_are_whole(spark, lake, column, op, value):
