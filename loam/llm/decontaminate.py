@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialise
 
 #: Separators (all ASCII but letters and digits) to spaces, A-Z to a-z; bytes from 0x80 are word characters.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-#: Characters of item texts in one automaton.
-BLOCK = 8_000_000
+#: Characters of item texts in one automaton (about 100 MB in a worker).
+BLOCK = 1_000_000
 FOUND = "doc_id bigint, text string, n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:int,b:int>>"
 
 
@@ -156,14 +159,15 @@ class Automaton:
         return spans, found
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks whose texts have about BLOCK characters at most, each read from its own buckets."""
+def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """Items in blocks whose texts have about BLOCK characters at most, each read from its own buckets;
+    with each block, whether it is the last."""
     items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 if total <= BLOCK else 2 * (total // BLOCK + 1)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield [(x.name, words(x.text)) for x in part.collect()]
+        yield k == n - 1, [(x.name, words(x.text)) for x in part.collect()]
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -178,12 +182,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_c
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    done = None
-    for block in _blocks(bench, item_id, item_text):
+    again = False
+    for last, block in _blocks(bench, item_id, item_text):
         machine = spark.sparkContext.broadcast(Automaton(block, window))
-        found = (rows if done is None else done).mapInArrow(_pass(machine, done is not None), FOUND)
-        done = found
-    return done
+        rows = rows.mapInArrow(_pass(machine, again), FOUND)
+        again = True
+        if not last:  # written between blocks, so that a worker holds one automaton
+            rows = materialise(rows, "hits")
+    return rows
 
 
 def _pass(machine, again: bool):
@@ -232,22 +238,33 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: flo
     """``docs``, same columns, with hit spans cut out of the text; documents of which more than
     ``max_coverage`` of the words are hit go. Texts without hits stay as they are."""
 
-    machine_rows = []
-    for block in _blocks(bench, "item_id", "text"):
-        machine_rows.append(docs.sparkSession.sparkContext.broadcast(Automaton(block, window)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, keep, texts = batch.schema.get_field_index(text_col), [], []
-            for text in batch.column(column).to_pylist():
-                ws = words(text)
-                spans = merged([x for m in machine_rows for x in m.value.search(ws)[0]])
-                hit = sum(b - a for a, b in spans)
-                keep.append(hit <= max_coverage * len(ws))
-                texts.append(without_spans(text, spans) if spans else text)
-            yield batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type)).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    columns, held = docs.columns, "__hit_spans"
+    given = docs
+
+    def run(machine, again: bool, last: bool):
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, found = columns.index(text_col), []
+                for k, text in enumerate(batch.column(at).to_pylist()):
+                    old = [(x["a"], x["b"]) for x in batch.column(len(columns))[k].as_py()] if again else []
+                    found.append((text, merged(machine.value.search(words(text))[0] + old)))
+                own = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns)
+                if not last:
+                    yield own.append_column(held, pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))
+                    continue
+                keep = [sum(b - a for a, b in spans) <= max_coverage * len(words(text)) for text, spans in found]
+                texts = [without_spans(text, spans) if spans else text for text, spans in found]
+                yield own.set_column(at, text_col, pa.array(texts, own.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+
+        return one
+
+    with_spans = T.StructType([*docs.schema.fields, T.StructField(held, T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))])
+    for last, block in _blocks(bench, "item_id", "text"):
+        machine = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        given = given.mapInArrow(run(machine, given is not docs, last), docs.schema if last else with_spans)
+        if not last:
+            given = materialise(given, "spans")
+    return given
 
 
 def items_digest(items):
