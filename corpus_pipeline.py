@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = lang_id.train(docs)
     if model is None:
         return docs
-    return lang_id.predict(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected")).select(docs.columns)
+    return lang_id.keep_recognised(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    mixed = mixing.mix(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    mixed = mixing.mix(docs, carry=tuple(docs.columns))
+    copies = mixed.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
+    return copies.drop("__copy")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

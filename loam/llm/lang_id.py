@@ -180,6 +180,20 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     return rows.mapInArrow(run, f"{types}, {PREDICTED}" if types else PREDICTED)
 
 
+def keep_recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text ``predict`` doesn't reject."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        words = Words(model)
+        for batch in batches:
+            means = [words.mean(x) for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([m is not None and float(softmax(model.logits(m)).max()) >= model.floor for m in means], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, rows: int = 3000, held_out_of: int = 4, held_out: int = 2) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod ``held_out_of`` isn't ``held_out``; predicts all rows.
 

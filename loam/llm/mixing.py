@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken, copies, source`` and ``carry``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, copies, source``, and the
+    columns in ``carry`` as ``carry_<name>``.
 
     ``size`` counts words (runs of other characters than U+0020, U+0009 to U+000D); a null text has
     none. ``copies`` is how often the mix takes the document (0 to ``repeats``), ``taken`` is
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = state.select(F.col("source").alias("of"), "source_size", "target", "base", "cut")
     copies = F.col("base") + (F.col("pos") < F.col("cut")).cast("bigint")
     rows = whole_rows if carry else rows
-    return rows.join(cuts, rows["source"].eqNullSafe(cuts["of"])).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", *[F.col(f"carry_{c}").alias(c) for c in carry])
+    return rows.join(cuts, rows["source"].eqNullSafe(cuts["of"])).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", *[f"carry_{c}" for c in carry])
 
 
 def _refine(rows: DataFrame, state: DataFrame, k: int) -> DataFrame:

@@ -91,10 +91,11 @@ def test_pipeline(spark, folder):
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (7, "a b c", "en", None, 5), (7, "a b c", "en", None, 5)], COLUMNS)
+    wide = docs.limit(9).selectExpr("*", "1 AS size", "2 AS score", "'x' AS rejected", "3 AS copies", "4 AS cls", "5 AS target", "6 AS component_id")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        for given in (docs, docs.limit(0), odd):
+        for given in (docs, docs.limit(0), odd, wide):
             out = stage(spark, given, folder[0])
-            assert out.schema.simpleString() == docs.schema.simpleString(), name
+            assert out.schema.simpleString() == given.schema.simpleString(), name
             assert out.count() <= 2 * given.count()
     assert corpus_pipeline.drop_near_copies(spark, odd, folder[0]).count() == 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "mixing", "token_output"]
