@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -45,7 +46,7 @@ class _Known(dict):
 class Encoder:
     """``ids`` and ``spans`` of texts. ``limit`` bounds the pieces and the parts remembered (about 200 bytes each)."""
 
-    def __init__(self, path: str, limit: int = 1_500_000, special: tuple[str, ...] = ()) -> None:
+    def __init__(self, path: str, limit: int = 600_000, special: tuple[str, ...] = ()) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, processors
 
@@ -58,38 +59,72 @@ class Encoder:
         self.model = self.library.model
         self.model._resize_cache(0)  # ours remembers more
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.parts, self.pieces, self.covered = _Known(self._part, limit), _Known(self._piece, limit), _Known(self._piece_spans, limit // 3)
+        self.parts, self.pieces = _Known(self._part, 2 * limit // 3), _Known(self._piece, limit)
+        self.part_spans, self.covered = _Known(self._part_spans, limit // 4), _Known(self._piece_spans, limit // 2)
 
     def _whole(self, text: str):
         return self.library.encode(text, add_special_tokens=False)
 
-    def _part(self, part: str) -> bytes | None:
-        """Ids of one part of the pattern."""
+    def _merged(self, part: str):
+        """The library's tokens of one part of the pattern; None if it may not be one."""
         core = part[1:] if part[0] == " " else part
         if not (core.isascii() or core.isalpha()) or not core.isprintable() and part != "\n":
             return None
-        return array("I", [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        return self.model.tokenize(part.encode().decode("latin-1").translate(BYTES))
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of what is between two cuts; None if the cuts may not be the library's."""
-        if not piece:
-            return b""
+    def _part(self, part: str) -> bytes | None:
+        """Ids of one part."""
+        tokens = self._merged(part)
+        return None if tokens is None else array("I", [x.id for x in tokens]).tobytes()
+
+    def _part_spans(self, part: str):
+        """(ids, spans, characters) of one part."""
+        tokens = self._merged(part)
+        if tokens is None:
+            return None
+        spans, begin = array("i"), 0
+        owner = None if part.isascii() else [i for i, c in enumerate(part) for _ in c.encode()]  # of each byte: its character
+        for x in tokens:
+            end = begin + len(x.value)
+            spans.extend((begin, end) if owner is None else (owner[begin], owner[end - 1] + 1))
+            begin = end
+        return array("I", [x.id for x in tokens]).tobytes(), spans, len(part)
+
+    def _parts_of(self, piece: str) -> list[str] | None:
+        """The parts of what is between two cuts; None if the cuts may not be the library's."""
         core = piece[1:] if piece[:1] == " " else piece
         if core.isalpha() or piece == "\n":
-            return self.parts[piece]
+            return [piece]
         if not core or core[0].isspace() or core[-1].isspace():
             return None
-        found = [self.parts[x] for x in PART.findall(piece)]
+        return PART.findall(piece)
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of what is between two cuts."""
+        if not piece:
+            return b""
+        if (parts := self._parts_of(piece)) is None:
+            return None
+        found = [self.parts[x] for x in parts]
         return None if None in found else b"".join(found)
 
     def _piece_spans(self, piece: str):
-        core = piece[1:] if piece[:1] == " " else piece
+        """(ids, spans, characters, tokens) of what is between two cuts."""
         if not piece:
-            return b"", np.zeros((0, 2), np.int32), 0
-        if piece != "\n" and (not core or core[0].isspace() or core[-1].isspace()):
+            return b"", b"", 0, 0
+        if (parts := self._parts_of(piece)) is None:
             return None
-        e = self._whole(piece)
-        return array("I", e.ids).tobytes(), np.array(e.offsets, dtype=np.int32).reshape(-1, 2), len(piece)
+        if self.special and "<|" in piece:
+            e = self._whole(piece)
+            return array("I", e.ids).tobytes(), array("i", chain.from_iterable(e.offsets)).tobytes(), len(piece), len(e.ids)
+        ids, spans, at = [], array("i"), 0
+        for x in parts:
+            if (found := self.part_spans[x]) is None:
+                return None
+            ids.append(found[0])
+            spans.extend(found[1] if not at else [k + at for k in found[1]])
+            at += found[2]
+        return b"".join(ids), spans.tobytes(), at, len(spans) // 2
 
     @staticmethod
     def _cut(text: str) -> list[str | None]:
@@ -110,10 +145,10 @@ class Encoder:
 
     def spans(self, text: str):
         """The ids of a text and the characters (start, end) that each token covers."""
-        if text and (pieces := self._cut(text))[0] is not None and None not in (found := [self.covered[x] for x in pieces]):
-            base = np.cumsum([0] + [x[2] for x in found[:-1]])
-            offsets = np.concatenate([x[1] for x in found]) + np.repeat(base, [len(x[1]) for x in found])[:, None]
-            return np.frombuffer(b"".join(x[0] for x in found), dtype="<u4"), offsets
+        if text and (pieces := self._cut(text))[0] is not None and None not in (found := list(map(self.covered.__getitem__, pieces))):
+            chars = np.array([x[2] for x in found])
+            base = np.repeat(np.cumsum(chars) - chars, [x[3] for x in found])
+            return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), np.frombuffer(b"".join([x[1] for x in found]), "<i4").reshape(-1, 2) + base[:, None]
         e = self._whole(text)
         return np.array(e.ids, dtype="<u4"), np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
 
