@@ -42,7 +42,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(x["at"].alias("at"), F.transform(part, lambda y: y["at"]).alias("ats"), F.array_min(hashes).alias("low"), F.xxhash64(hashes).alias("gram"))
 
     whole_windows = F.when(F.size("lines") >= run, F.transform(F.slice("lines", F.lit(1), F.size("lines") - run + 1), window)).otherwise(F.array().cast("array<struct<at:int,ats:array<int>,low:bigint,gram:bigint>>"))
-    single = F.transform(F.filter("lines", lambda x: x["long"]), lambda x: F.struct(x["at"].alias("at"), F.array(x["at"]).alias("ats"), x["h"].alias("low"), F.hash(x["h"]).cast("bigint").alias("gram")))
+    single = F.transform(F.filter("lines", lambda x: x["long"]), lambda x: F.struct(x["at"].alias("at"), F.array(x["at"]).alias("ats"), x["h"].alias("low"), F.xxhash64(x["h"]).alias("gram")))
     spots = materialise(
         whole.select("doc_id", "th", lines.alias("lines")).select("doc_id", "th", F.explode(F.concat(whole_windows, single)).alias("w")).select("doc_id", "th", "w.*"),
         "windows",
@@ -50,9 +50,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = spots.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
     found = spots.join(repeated, "low", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "at")
-    alike = [F.col("gram"), F.size("ats").alias("k")]
+    alike = [F.col("low"), F.col("gram"), F.size("ats").alias("k")]
     first = found.groupBy(*alike).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.withColumn("k", F.size("ats")).join(first, ["gram", "k"]).where(place > F.col("first"))
+    later = found.withColumn("k", F.size("ats")).join(first, ["low", "gram", "k"]).where(place > F.col("first"))
     gone = later.select("doc_id", "th", F.explode("ats").alias("at")).groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     gone = gone.withColumnRenamed("doc_id", "of").withColumnRenamed("th", "of_th")
     joined = whole.join(gone, whole["doc_id"].eqNullSafe(gone["of"]) & (whole["th"] == gone["of_th"]), "left")

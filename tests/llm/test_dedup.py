@@ -72,6 +72,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pair", [(50991, 387784), (202597, 252832)])
+def test_line_dedup_tells_long_lines_apart(spark, pair):
+    a, b = ("w " * 49 + f"n{x}" for x in pair)  # the 32-bit hashes of their 64-bit hashes are equal
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows) == {1: (1, 0, a), 2: (1, 0, b), 3: (2, 2, "")}
+
+
 def brute_components(rows, size=5, percent=75):
     sets = []
     for _, text in rows:
