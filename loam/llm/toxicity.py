@@ -164,8 +164,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, longest: int
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score, predicted, sentences`` for each row, from the whole text alone.
 
-    ``sentences`` (number, score, text) are the offending ones of a document predicted toxic, the
-    worst first, ten at most. Null and empty texts are one empty sentence. With no model (nothing
+    ``sentences`` (number, score, text) are all the offending ones of a document predicted toxic, the
+    worst first. Null and empty texts are one empty sentence. With no model (nothing
     to learn from) all scores are 0. Other columns are ignored; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
@@ -187,9 +187,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
                 worst = []
                 if chance >= 0.5:
                     stops = [*starts[1:].tolist(), len(found)]
-                    for k in np.argsort(-z, kind="stable")[:10].tolist():
-                        if z[k] >= min(0.0, float(z.max())):
-                            worst.append({"n": k, "score": float(1 / (1 + np.exp(-z[k]))), "text": " ".join(found[starts[k] : stops[k]]).strip()})
+                    least, order = min(0.0, float(z.max())), np.argsort(-z, kind="stable")
+                    for k in order[z[order] >= least].tolist():
+                        worst.append({"n": k, "score": float(1 / (1 + np.exp(-z[k]))), "text": " ".join(found[starts[k] : stops[k]]).strip()})
                 out.append((chance, int(chance >= 0.5), worst))
             chance, label, worst = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chance, pa.float64()), pa.array(label, pa.int32()), pa.array(worst, pa.list_(pa.struct([("n", pa.int32()), ("score", pa.float64()), ("text", pa.string())])))], names=[*keep, "score", "predicted", "sentences"])

@@ -157,3 +157,13 @@ def test_toxic_sentences_are_found(spark):
     assert {got[k].predicted for k in (900, 901, 902)} == {0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_all_toxic_sentences_are_found(spark):
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    weights[toxicity.features("scum")] = 2.0
+    texts = [" ".join("You scum." if k % 3 == 0 else "Good day." for k in range(n)) for n in (3, 30, 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in toxicity.score(docs, toxicity.Model(weights, -1.0)).collect():
+        n = texts[r.doc_id].count(".")
+        assert r.predicted == 1 and [(x.n, x.text) for x in r.sentences] == [(k, "You scum.") for k in range(0, n, 3)]
