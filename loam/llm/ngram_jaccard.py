@@ -127,6 +127,21 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str = "token") -> Iterator[tup
         yield held, False
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict]:
+    """As ``_runs``, but a group of more than HELD rows comes in one chunk too."""
+    parts = []
+    for rows, hot in _runs(batches, key):
+        if parts and not (hot and rows[key][0] == parts[0][key][0]):
+            yield {k: np.concatenate([x[k] for x in parts]) for k in rows}
+            parts = []
+        if hot:
+            parts.append(rows)
+        else:
+            yield rows
+    if parts:
+        yield {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
@@ -203,7 +218,7 @@ def _profiles(texts: DataFrame, candidates: DataFrame, size: int, percent: int)
                 yield _batch(cls=cls[keep], df=df[keep].astype(np.int32), token=token[keep], n=n[keep])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in _runs(batches, "cls"):
+        for rows in _whole(batches, "cls"):
             starts = np.flatnonzero(np.concatenate([[True], rows["cls"][1:] != rows["cls"][:-1]]))
             m, n = np.diff(np.append(starts, len(rows["cls"]))), rows["n"][starts].astype(np.int64)
             q = m - least(n, percent) + 1

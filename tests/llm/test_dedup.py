@@ -129,6 +129,30 @@ def test_ngram_jaccard_split_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in ngram_jaccard(docs(spark, rows)).collect()) == brute_components(rows)
 
 
+def test_ngram_jaccard_very_long(spark):
+    words = [f"w{i}" for i in range(600_004)]  # 600,000 shingles, 514,286 in common to link
+    other, third = list(words), list(words)
+    other[::100_000], third[::20] = [f"x{i}" for i in range(7)], [f"y{i}" for i in range(30_001)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([words, other, third, ["a", "b"]])]
+    got = sorted(tuple(r)[:3] for r in ngram_jaccard(docs(spark, rows)).collect())
+    assert got == [(0, 600_000, 0), (1, 600_000, 0), (2, 600_000, 2), (3, 1, 3)]
+
+
+@pytest.mark.parametrize("held", [3, 10, 1000])
+def test_groups_come_whole(monkeypatch, held):
+    import pyarrow as pa
+
+    import loam.llm.ngram_jaccard as module
+
+    monkeypatch.setattr(module, "HELD", held)
+    cls = np.repeat([1, 2, 5, 6, 7, 9], [2, 40, 30, 1, 12, 3])
+    table = pa.table({"cls": cls, "token": np.arange(len(cls))})
+    for size in (1, 7, 42, 100):
+        found = list(module._whole(iter(table.to_batches(size)), "cls"))
+        assert np.concatenate([x["token"] for x in found]).tolist() == list(range(len(cls)))
+        assert [c for x in found for c in np.unique(x["cls"]).tolist()] == [1, 2, 5, 6, 7, 9]
+
+
 def test_ngram_jaccard_edges(spark):
     assert ngram_jaccard(docs(spark, []).limit(0)).count() == 0
     got = sorted((tuple(r) for r in ngram_jaccard(docs(spark, [(None, "a b"), (3, "a b"), (None, "q"), (4, None), (3, "a b")])).collect()), key=repr)
