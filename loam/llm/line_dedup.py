@@ -63,3 +63,53 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51) -> DataFrame:
+    """One row per input row: ``doc_id, n_words, n_removed, text`` (null text: empty).
+
+    Words are runs of other characters than U+0020 and U+0009 to U+000D and go with the spaces after
+    them. A word goes if it lies in a window of ``words`` words of its document whose words stood
+    earlier, in a document of smaller id or further up, wherever lines end: the first place stays.
+    Ids, repeated rows and other columns are taken as by ``line_dedup``.
+
+    Windows are winnowed: of the hashes of half as long runs of words in a window, the smallest is its
+    fingerprint, which equal windows have at the same place. Only windows around fingerprints that
+    occur again are made and compared by two 64-bit hashes.
+    """
+    part = (words + 1) // 2
+    grams = words - part + 1  # runs of ``part`` words in a window
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    hashed = whole.select("doc_id", "th", F.transform(pieces, lambda x: F.xxhash64(F.rtrim(x, F.lit(SPACES)))).alias("words"))
+    hashed = hashed.withColumn("n", F.size("words")).where(F.col("n") >= words).dropDuplicates(["doc_id", "th"])
+    hashed = materialise(hashed, "words")
+    starts = lambda last: F.sequence(F.lit(0), last)
+    runs = hashed.select("doc_id", "th", "n", F.transform(starts(F.col("n") - part), lambda i: F.struct(F.xxhash64(F.slice("words", i + 1, F.lit(part))).alias("low"), i.alias("at"))).alias("runs"))
+    minima = F.array_distinct(F.transform(starts(F.col("n") - words), lambda i: F.array_min(F.slice("runs", i + 1, F.lit(grams)))))
+    prints = materialise(runs.select("doc_id", "th", F.explode(minima).alias("p")).select("doc_id", "th", "p.*"), "prints")
+    repeated = prints.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
+    found = prints.join(repeated, "low", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("at").alias("found"))
+
+    def of(frame: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.withColumnRenamed("doc_id", "of").withColumnRenamed("th", "of_th")
+        return frame.join(other, frame["doc_id"].eqNullSafe(other["of"]) & (frame["th"] == other["of_th"]), how)
+
+    around = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(F.greatest(x - (grams - 1), F.lit(0)), F.least(x, F.col("n") - words)))))
+    content = lambda i: F.slice("words", i + 1, F.lit(words))
+    window = F.transform(around, lambda i: F.struct(i.alias("at"), F.xxhash64(content(i)).alias("gram"), F.xxhash64(F.lit(1), content(i)).alias("gram2")))
+    windows = materialise(of(hashed, found, "inner").select("doc_id", "th", F.explode(window).alias("w")).select("doc_id", "th", "w.*"), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "at")
+    first = windows.groupBy("gram", "gram2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, ["gram", "gram2"]).where(place > F.col("first"))
+    gone = later.groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
+    removed = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x, x + (words - 1)))))
+    split = of(whole, gone, "left").select("doc_id", "text", pieces.alias("pieces"), removed.alias("gone"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("gone")), lambda i: F.get("pieces", i))
+    return split.select(
+        "doc_id",
+        F.size("pieces").cast("bigint").alias("n_words"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0), F.array_join(kept, ""))).alias("text"),
+    )

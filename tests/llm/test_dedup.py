@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 
 from loam.llm.components import connected
 from loam.llm.exact_dedup import exact_dedup
-from loam.llm.line_dedup import line_dedup
+from loam.llm.line_dedup import line_dedup, passage_dedup
 from loam.llm.ngram_jaccard import Hashes, ngram_jaccard, shingles, trie_links
 
 WIDE = "doc_id bigint, text string, digest string, uid int, best string, source string"
@@ -80,6 +81,45 @@ def test_line_dedup_tells_long_lines_apart(spark, pair):
     assert got == brute_lines(rows) == {1: (1, 0, a), 2: (1, 0, b), 3: (2, 2, "")}
 
 
+def brute_passages(rows, words=51):
+    """All windows of all documents, one after the other."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+        own, gone = [x.strip(" \t\n\x0b\x0c\r") for x in pieces], set()
+        for i in range(len(own) - words + 1):
+            key = tuple(own[i : i + words])
+            if key in seen:
+                gone.update(range(i, i + words))
+            seen.add(key)
+        head = text[: len(text) - len("".join(pieces))]
+        out[doc_id] = (len(pieces), len(gone), head + "".join(x for i, x in enumerate(pieces) if i not in gone))
+    return out
+
+
+def test_passages_repeat_across_lines_and_inside_them(spark):
+    passage = [f"p{i}" for i in range(60)]
+    one, two = " ".join(passage), " ".join(passage[:30]) + "\n" + " ".join(passage[30:])
+    rows = [(1, f"start\n{two}\nend"), (2, f"other\n{two}\nlines"), (3, f"inside a longer {one} line"), (4, one), (5, " ".join(passage[:50])), (6, f" {' '.join(passage[5:56])}"), (7, ""), (8, one * 2)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in passage_dedup(docs(spark, [*rows, (4, one), (9, None)])).collect()}
+    assert got.pop(9) == (0, 0, "") and got == brute_passages(rows)
+    assert [got[k][1] for k in range(1, 8)] == [0, 60, 60, 60, 0, 51, 0] and got[3][2] == "inside a longer line"
+    assert passage_dedup(docs(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words", [2, 5, 51])
+def test_passage_dedup(spark, words):
+    random = np.random.default_rng(words)
+    base = [f"w{x}" for x in random.integers(0, 9 if words < 51 else 500, 400)]
+    rows = []
+    for i in range(40):
+        at, n = random.integers(0, 300), random.integers(0, 4 * words)
+        text = [f"u{x}" for x in random.integers(0, 99, 5)] + base[at : at + n] + ["x"] * int(random.integers(0, 2 * words))
+        rows.append((i, " " * (i % 3) + "".join(x + ("\n", " ", "\t ")[int(random.integers(0, 3))] for x in text)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in passage_dedup(docs(spark, rows), words=words).collect()}
+    assert got == brute_passages(rows, words) and any(x[1] for x in got.values())
+
+
 def brute_components(rows, size=5, percent=75):
     sets = []
     for _, text in rows:
