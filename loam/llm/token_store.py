@@ -196,11 +196,45 @@ def crc_moved(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises if a part's documents and the manifest differ: lost, added or moved rows, counts, offsets, roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, roots, tokens, sound, stored = None, [], 0, True, None
+
+        def made() -> pa.RecordBatch:
+            ok = sound and stored == merkle_root(roots)
+            columns = [pa.array([key], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle_root(roots)], pa.binary()), pa.array([ok])]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "docs", "tokens", "found", "sound"])
+
+        for batch in batches:
+            for part, row, before, n, root, part_root in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != key:
+                    if key is not None:
+                        yield made()
+                    key, roots, tokens, sound, stored = part, [], 0, True, None
+                sound = sound and stored is None and row == len(roots) and before == tokens
+                roots.append(root)
+                tokens, stored = tokens + n, part_root
+        if key is not None:
+            yield made()
+
+    rows = spark.read.schema(RECIPES).parquet(f"{path}/documents").select("part", "row", "before", "n_tokens", "root", "part_root")
+    facts = rows.repartition("part").sortWithinPartitions("part", "row").mapInArrow(run, "part int, docs bigint, tokens bigint, found binary, sound boolean")
+    manifest = spark.read.parquet(f"{path}/manifest").select("part", "offset", "n_docs", "n_tokens", "root")
+    before = 0
+    for x in sorted(manifest.join(facts, "part", "full").collect(), key=lambda x: x.part):  # one row for each part file
+        if not x.sound or (x.offset, x.n_docs, x.n_tokens, x.root) != (before, x.docs, x.tokens, x.found):
+            raise ValueError(f"part {x.part} of the documents is damaged or differs from the manifest")
+        before += x.tokens
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """Reads a store back: ``doc_id, start, n_tokens, ids_crc32`` per document.
 
     Every chunk's data is hashed and compared with its digest, and every recipe with its Merkle
-    root; a chunk that is missing, of another size or damaged raises an error. The CRC-32 of a
+    root; a chunk that is missing, of another size or damaged raises an error. So does a part whose
+    documents differ from the manifest, at once. The CRC-32 of a
     document's ids as little-endian unsigned 32-bit integers is put together from those of its
     stored chunks, so no document's ids need to meet in one place.
     """
@@ -226,6 +260,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             crc = crc_moved(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
             yield batch.drop_columns(["crc", "after"]).append_column("crc", pa.array(crc, pa.int64()))
 
+    check_manifest(spark, path)
     chunks = spark.read.schema("digest binary, n int, data binary").parquet(f"{path}/chunks").mapInArrow(facts, "digest binary, n int, crc bigint")
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/documents").select("part", "row", "doc_id", "before", "n_tokens", "chunks", "sizes", "root")
     recipes = recipes.mapInArrow(checked, "part int, row bigint, doc_id bigint, before bigint, n_tokens int, chunks array<binary>, sizes array<int>")

@@ -86,6 +86,28 @@ def test_token_store(spark, tmp_path, library):
         verify(spark, path).collect()
 
 
+def test_manifest_is_checked(spark, tmp_path):
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(200)], "doc_id bigint, text string")
+    path = tmp_path / "store"
+    write_store(rows.repartition(4), f"file://{path}", PATH, 2)
+    assert verify(spark, f"file://{path}").count() == 200
+    kept, manifest = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/manifest")
+    last = kept.agg(F.max("part")).first()[0]
+    damaged = [("documents", kept.where("doc_id != 57")), ("documents", kept.where(F.col("part") != last)), ("documents", kept.union(kept.where("doc_id = 57")))]
+    damaged += [("documents", kept.withColumn("before", F.col("before") + F.when(F.col("doc_id") == 57, 1).otherwise(0)))]
+    damaged += [("manifest", manifest.where(F.col("part") != last)), ("manifest", manifest.withColumn("offset", F.col("offset") + 1)), ("manifest", manifest.withColumn("root", F.lit(b"x")))]
+    for k, (name, rows) in enumerate(damaged):
+        copy = tmp_path / f"copy{k}"
+        shutil.copytree(path, copy, ignore=shutil.ignore_patterns(name))
+        rows.write.parquet(f"{copy}/{name}")
+        with pytest.raises(Exception, match="differs from the manifest"):
+            verify(spark, f"file://{copy}").collect()
+
+
 def test_token_store_shuffles_many_repeats(spark, monkeypatch, library):
     import loam.llm.token_store as module
 
