@@ -3,9 +3,9 @@
 A run of at least ``run`` lines that repeats has equal windows of ``run`` lines, and equal windows
 have the same smallest line hash. So window minima are fingerprints that no repeat can miss. First
 the minima are counted, with map-side combining; windows whose minimum occurs in one window only
-go no further. The others are extended both ways from the fingerprint to the whole window and are
-joined by the window's content: all windows of a content but the first repeat it. Matches longer
-than a window are covered by their overlapping windows. Only counts and first places are gathered
+go no further. The minima only choose windows: their places are not joined, and no match is extended
+from them. The chosen windows are joined by their content: all windows of a content but the first
+repeat it. Matches longer than a window are covered by their overlapping windows. Only counts and first places are gathered
 by key, never the members of a group.
 """
 
