@@ -84,30 +84,45 @@ def format_chats(rows: DataFrame, path: str, tokenizer: str, roles: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, part = encoder(tokenizer, (START, END)), TaskContext.get().partitionId()
-        key, block, size, number = None, [], 0, 0
+        key, block, size, number, ready, held = None, [], 0, 0, [], 0
+        names = ["conv_id", "part", "block", "n_turns", "formatted", "ids", "mask", "loss_spans"]
+
+        def made() -> Iterator[pa.RecordBatch]:
+            keys, numbers, n_turns, texts, spans = zip(*ready, strict=True)
+            row = 0
+            for ids, stops, tokens, _ in library.encode(pa.array(texts, pa.large_string()), True):
+                n = len(stops) - 1
+                found = [intersect(tokens[a:b], x) for a, b, x in zip(stops[:-1].tolist(), stops[1:].tolist(), spans[row : row + n], strict=True)]
+                lists = pa.array(stops, pa.int32())
+                masks = pa.ListArray.from_arrays(lists, pa.array(np.concatenate([x for x, _ in found]), pa.int8()))
+                under = pa.array([[{"a": a, "b": b} for a, b in x] for _, x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+                head = [pa.array(keys[row : row + n], pa.int64()), pa.array([part] * n, pa.int32()), pa.array(numbers[row : row + n], pa.int64()), pa.array(n_turns[row : row + n], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(texts[row : row + n]), pa.ListArray.from_arrays(lists, pa.array(ids, pa.int32())), masks, under], names=names)
+                row += n
 
-        def made() -> pa.RecordBatch:
+        def close() -> None:
             text, spans = render(block, roles)
-            ids, tokens = library.spans(text)
-            mask, found = intersect(tokens, spans)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(block)], pa.int32()), pa.array([text]), pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array([[{"a": a, "b": b} for a, b in found]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-                names=["conv_id", "part", "block", "n_turns", "formatted", "ids", "mask", "loss_spans"],
-            )
+            ready.append((key, number, len(block), text, spans))
 
         for batch in batches:
             for conv, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if block and (conv != key or size > BLOCK):
-                    yield made()
-                    block, size, number = [], 0, number + 1
+                    close()
+                    block, held, size, number = [], held + size, 0, number + 1
+                    if held > BLOCK:
+                        yield from made()
+                        ready, held = [], 0
                 key = conv
                 block.append((role or "", text or ""))
                 size += len(text or "")
         if block:
-            yield made()
+            close()
+        if ready:
+            yield from made()
 
+    # dealt by ranges of (conversation, turn), so that no texts are sampled; equal turns stay together
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ordered = rows.select("conv_id", "turn", "role", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.select("conv_id", "turn", "role", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.select("conv_id", "role", "text").mapInArrow(run, FORMATTED).write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(FORMATTED).parquet(path)
 

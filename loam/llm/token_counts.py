@@ -61,22 +61,28 @@ def count_tokens(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] | None
     if fields:
         parts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
     else:
-        parts = F.array(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        parts = F.col(text_col).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
         for batch in batches:
-            out = []
-            for part in batch.column(1).to_pylist():
-                text = joiner.join(part)
-                ends = line_ends(text)
-                if fields:
-                    ends = np.cumsum([len(x) + len(joiner) for x in part])
-                    ends[-1] -= len(joiner)
-                ids, spans = library.spans(text)
-                counts, crossing = allocate(spans, ends, rule)
-                out.append((len(text), len(ids), len(ends), crossing, counts))
-            chars, tokens, sections, crossing, counts = zip(*out, strict=True) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (chars, tokens, sections, crossing)], pa.array(counts, pa.list_(pa.float64()))], names=["doc_id", "n_chars", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
+            parts = batch.column(1).to_pylist() if fields else None
+            texts = pa.array([joiner.join(x) for x in parts], pa.large_string()) if fields else batch.column(1)
+            raw = texts.cast(pa.large_binary())
+            row = 0
+            for _, stops, spans, size in library.encode(texts, True):
+                out = []
+                for k, (a, b) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+                    if fields:
+                        ends = np.cumsum([len(x) + len(joiner) for x in parts[row + k]])
+                        ends[-1] -= len(joiner)
+                    else:
+                        ends = line_ends((raw[row + k].as_py() or b"").decode(errors="replace"))
+                    counts, crossing = allocate(spans[a:b], ends, rule)
+                    out.append((b - a, len(ends), crossing, counts))
+                tokens, sections, crossing, counts = zip(*out, strict=True)
+                columns = [pa.array(size, pa.int64()), *[pa.array(x, pa.int64()) for x in (tokens, sections, crossing)], pa.array(counts, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(out)), *columns], names=["doc_id", "n_chars", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
+                row += len(out)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), parts.alias("parts")).mapInArrow(run, COUNTED)

@@ -49,56 +49,70 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of a document's chunks, by its ids alone."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of each document's chunks, by its ids alone; ``bounds`` are the documents' in ``ids``."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     step, power = 1, 0xD6E8FEB86659FD93
-    while step < WINDOW:  # h[i]: polynomial hash of the last `step` ids
+    while step < WINDOW:  # h[i]: polynomial hash of the last `step` ids, whose first LEAST places in a document don't count
         more = h.copy()
         more[step:] += h[:-step] * np.uint64(power)
         h, step, power = more, step * 2, power * power % (1 << 64)
     h ^= h >> np.uint64(29)
-    out, last = [], 0
-    for at in (np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + 1).tolist():
-        if at - last < LEAST:
-            continue
-        while at - last > MOST:
+    marks = np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + 1
+    ranges = np.searchsorted(marks, bounds, "right").tolist()
+    marks, found = marks.tolist(), []
+    for k, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        out, last, n = [], 0, end - begin
+        for mark in marks[ranges[k] : ranges[k + 1]] if n > LEAST else ():
+            at = mark - begin
+            if at - last < LEAST:
+                continue
+            while at - last > MOST:
+                last += MOST
+                out.append(last)
+            if at - last >= LEAST:
+                out.append(at)
+                last = at
+        while n - last > MOST:
             last += MOST
             out.append(last)
-        if at - last >= LEAST:
-            out.append(at)
-            last = at
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    if last < n:
-        out.append(n)
-    return out
+        if last < n or not n:
+            out.append(n)
+        found.append(out)
+    return found
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its ids, cut into chunks; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(tokenizer)
-        kind, end, shard, row = f"<u{library.width}", np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        library, shard, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        width = library.width
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(library.ids(text or "") + end, "<u4")
-                data, ends = ids.astype(kind).tobytes(), cuts(ids)
-                begins, w = [0, *ends[:-1]], library.width
-                out.append((len(ids), [digest(data[a * w : b * w]) for a, b in zip(begins, ends, strict=True)], [b - a for a, b in zip(begins, ends, strict=True)], data))
-            n, chunks, sizes, data = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shard] * len(out), pa.int32()), pa.array(range(row, row + len(out)), pa.int64()), pa.array(n, pa.int32()), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.binary())],
-                names=["doc_id", "shard", "row", "n_tokens", "chunks", "sizes", "data"],
-            )
-            row += len(out)
+            begin = 0
+            for ids, stops, _, _ in library.encode(batch.column(1)):
+                n = len(stops) - 1
+                ids, bounds = np.insert(ids, stops[1:], end_id), stops + np.arange(n + 1)
+                data = ids.astype(f"<u{width}").tobytes()
+                names, sizes, counts = [], [], [0]
+                for base, ends in zip(bounds.tolist(), cuts(ids, bounds), strict=False):
+                    last = 0
+                    for at in ends:
+                        names.append(digest(data[(base + last) * width : (base + at) * width]))
+                        sizes.append(at - last)
+                        last = at
+                    counts.append(len(names))
+                lists = pa.array(counts, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(begin, n), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(row, row + n)), pa.array(np.diff(bounds).astype(np.int32)),
+                        pa.ListArray.from_arrays(lists, pa.array(names, pa.binary())), pa.ListArray.from_arrays(lists, pa.array(sizes, pa.int32())),
+                        pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(data)]),
+                    ],
+                    names=["doc_id", "shard", "row", "n_tokens", "chunks", "sizes", "data"],
+                )
+                begin, row = begin + n, row + n
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
 
@@ -253,7 +267,14 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             for row, (leaves, root) in enumerate(zip(batch.column("chunks").to_pylist(), batch.column("root").to_pylist(), strict=True)):
                 if merkle_root(leaves) != root:
                     raise ValueError(f"the recipe of document {batch.column('doc_id')[row]} is damaged")
-            yield batch.drop_columns(["root"])
+            sizes = batch.column("sizes")
+            each, bounds = sizes.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes.value_lengths().to_numpy())])
+            upto = np.concatenate([[0], np.cumsum(each)])
+            total = upto[bounds[1:]] - upto[bounds[:-1]]
+            if (wrong := np.flatnonzero(total != batch.column("n_tokens").to_numpy())).size:
+                raise ValueError(f"the recipe of document {batch.column('doc_id')[int(wrong[0])]} has another length")
+            after = np.repeat(upto[bounds[1:]], np.diff(bounds)) - upto[1:]  # ids after each chunk of its document
+            yield batch.drop_columns(["root"]).append_column("after", pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(after)))
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +284,8 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     check_manifest(spark, path)
     chunks = spark.read.schema("digest binary, n int, data binary").parquet(f"{path}/chunks").mapInArrow(facts, "digest binary, n int, crc bigint")
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/documents").select("part", "row", "doc_id", "before", "n_tokens", "chunks", "sizes", "root")
-    recipes = recipes.mapInArrow(checked, "part int, row bigint, doc_id bigint, before bigint, n_tokens int, chunks array<binary>, sizes array<int>")
-    # ids after each chunk of its document
-    after = F.transform("sizes", lambda x, i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(0).cast("bigint"), lambda a, b: a + b))
-    after = F.when(F.size("sizes") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(after)
-    links = recipes.select("part", "row", "doc_id", "before", "n_tokens", F.explode(F.arrays_zip("chunks", "sizes", after.alias("after"))).alias("c"))
+    recipes = recipes.mapInArrow(checked, "part int, row bigint, doc_id bigint, before bigint, n_tokens int, chunks array<binary>, sizes array<int>, after array<bigint>")
+    links = recipes.select("part", "row", "doc_id", "before", "n_tokens", F.explode(F.arrays_zip("chunks", "sizes", "after")).alias("c"))
     links = links.select("part", "row", "doc_id", "before", "n_tokens", F.col("c.chunks").alias("digest"), F.col("c.sizes").alias("size"), F.col("c.after").alias("after"))
     joined = links.join(chunks, "digest", "left")
     sound = F.when(F.col("n") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("missing chunk "), F.hex("digest"))).cast("bigint"))
