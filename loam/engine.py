@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import display
-from .plans import predicate
-from .plans.dialect import rewrite, where_of
+from .plans.conditions import conditions, depends_on_the_clock, locations
+from .plans.dialect import rewrite
 from .sources import detect, files
 from .sources.avro_source import read_avro
 from .sources.iceberg import IcebergTable
@@ -27,6 +28,7 @@ class Connection:
     kind: str
     view: str
     iceberg: IcebergTable | None = None
+    frame: DataFrame | None = None
 
 
 class Engine:
@@ -57,9 +59,8 @@ class Engine:
         """The result of a query."""
         if self._word(text) not in ("SELECT", "WITH"):
             raise ValueError("only SELECT queries are supported")
-        self._prune(text)
-        view = self.connection.view if self.connection else None
-        return self.spark.sql(rewrite(text, view, lambda name: self._open(name).view))
+        bound = rewrite(text, self.connection.view if self.connection else None, lambda name: self._open(name).view)
+        return self._pruned(self.spark.sql(bound), bound)
 
     def show(self, text: str, full: bool = False) -> str:
         """A query's result as a console table; ``full SELECT ...`` shows all rows."""
@@ -104,22 +105,36 @@ class Engine:
             made = Connection(path, kind, f"loam_{next(_numbers)}")
             if kind == detect.ICEBERG:
                 made.iceberg = IcebergTable.load(self.spark, path)
-            self._frame(made).createOrReplaceTempView(made.view)
+            made.frame = self._frame(made)
+            made.frame.createOrReplaceTempView(made.view)
             self.views[path] = made
         return self.views[path]
 
-    def _frame(self, c: Connection, tree=None) -> DataFrame:
+    def _frame(self, c: Connection) -> DataFrame:
         if c.kind == detect.PARQUET:
             return read_parquet(self.spark, c.path)
         if c.kind == detect.AVRO:
             return read_avro(self.spark, c.path)
-        return c.iceberg.scan(tree)
-
-    def _prune(self, text: str) -> None:
-        """Lists an Iceberg table's files anew for a query over it alone: those that WHERE can't skip."""
-        bound = rewrite(text, self.connection.view if self.connection else None, lambda name: self._open(name).view)
-        view, where = where_of(bound)
-        for c in self.views.values():
-            if c.iceberg:
-                tree = predicate.parse(where) if where and c.view == view else None
-                self._frame(c, tree).createOrReplaceTempView(c.view)
+        return c.iceberg.scan()
+
+    def _pruned(self, df: DataFrame, text: str) -> DataFrame:
+        """The query over fewer files: of each Iceberg table in it, those that the filters which Catalyst
+        brings down to the table can't skip. A table used twice keeps what either use needs."""
+        tables = [c for c in self.views.values() if c.iceberg and c.view in text]
+        if not tables or depends_on_the_clock(text):
+            return df
+        found, changed = conditions(df, tuple({f.name for c in tables for f in c.frame.schema if isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType))})), []
+        for c in tables:
+            own = locations(c.frame)
+            trees = [tree for where, tree in found if any(where.equals(x) for x in own)]
+            if trees and all(trees):
+                tree = functools.reduce(lambda a, b: ("or", a, b), trees)
+                c.iceberg.scan(tree).createOrReplaceTempView(c.view)
+                changed.append(c)
+        if changed:
+            try:
+                return self.spark.sql(text)
+            finally:
+                for c in changed:
+                    c.frame.createOrReplaceTempView(c.view)
+        return df

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -154,8 +156,41 @@ def _pairs(value) -> dict:
     return {int(x["key"]): x["value"] for x in value}
 
 
-def data_file(entry: dict, columns: list[Column]) -> DataFile | None:
-    """The file of a manifest entry, or None if it is deleted."""
+def _of_partition(transform: str, kind: str, value):
+    """The least and the greatest value that a column can have in a partition; None: unknown."""
+    unknown = (None, None)
+    if value is None or not isinstance(kind, str):
+        return unknown
+    if transform == "identity":
+        if kind in ("float", "double", "binary", "uuid", "timestamptz", "time") or kind.startswith("fixed"):
+            return unknown
+        if kind == "date" and isinstance(value, int):
+            value = datetime.date(1970, 1, 1) + datetime.timedelta(value)
+        if kind == "timestamp" and isinstance(value, int):
+            value = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=value)
+        if kind == "timestamp" and getattr(value, "tzinfo", None):
+            return unknown
+        return value, value
+    if (m := re.fullmatch(r"truncate\[(\d+)\]", transform)) and kind in ("int", "long") and isinstance(value, int):
+        return value, value + int(m[1]) - 1
+    if transform in ("year", "month", "day", "hour") and kind in ("date", "timestamp"):
+        if isinstance(value, datetime.date):  # days may be stored as dates
+            value = (value - datetime.date(1970, 1, 1)).days
+        if transform in ("year", "month"):
+            months = value * (12 if transform == "year" else 1)
+            edges = [datetime.datetime(1970 + x // 12, x % 12 + 1, 1) for x in (months, months + (12 if transform == "year" else 1))]
+        else:
+            step = datetime.timedelta(**{f"{transform}s": 1})
+            edges = [datetime.datetime(1970, 1, 1) + value * step, datetime.datetime(1970, 1, 1) + (value + 1) * step]
+        if kind == "date":
+            return (edges[0].date(), (edges[1] - datetime.timedelta(days=1)).date()) if transform != "hour" else unknown
+        return edges[0], edges[1] - datetime.timedelta(microseconds=1)
+    return unknown
+
+
+def data_file(entry: dict, columns: list[Column], specs: list[dict] = ()) -> DataFile | None:
+    """The file of a manifest entry, or None if it is deleted. What the entry has no bounds of gets them from
+    the file's partition, by the transforms of the table's specs."""
     if entry.get("status", 1) == DELETED:
         return None
     raw = entry["data_file"]
@@ -173,6 +208,20 @@ def data_file(entry: dict, columns: list[Column]) -> DataFile | None:
         for to, found in ((stats.nulls, nulls), (stats.nans, nans)):
             if c.id in found:
                 to[c.name] = found[c.id]
+    by_name: dict[str, list] = {}
+    for spec in specs:
+        for f in spec.get("fields", []):
+            if f not in by_name.setdefault(f["name"], []):
+                by_name[f["name"]].append(f)
+    for name, value in (raw.get("partition") or {}).items():
+        fields = by_name.get(name, [])
+        if len({(f["source-id"], f["transform"]) for f in fields}) != 1:
+            continue  # no spec has it, or specs differ
+        c = next((c for c in columns if c.id == fields[0]["source-id"]), None)
+        if c is not None:
+            for to, bound in zip((stats.lower, stats.upper), _of_partition(fields[0]["transform"], c.type, value), strict=True):
+                if bound is not None:
+                    to.setdefault(c.name, bound)
     return DataFile(raw["file_path"], str(raw.get("file_format", "PARQUET")).upper(), stats)
 
 
@@ -181,6 +230,9 @@ class IcebergTable:
     spark: SparkSession
     path: str
     metadata: Metadata
+    #: Of each snapshot: the files, and the manifests that the driver hasn't read, being many.
+    listed: dict = field(default_factory=dict, repr=False)
+    with_ids: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IcebergTable:
@@ -199,9 +251,18 @@ class IcebergTable:
     def files(self, snapshot_id: int | None = None, predicate=None) -> list[DataFile]:
         """The live data files of a snapshot that ``predicate`` can't skip. Manifests may be listed in
         Avro or JSON, or be the list itself. Of many manifests, executors read and prune the entries."""
-        snapshot, columns = self.metadata.snapshot(snapshot_id), self.metadata.schema
+        snapshot = self.metadata.snapshot(snapshot_id)
         if snapshot is None:
             return []
+        known = snapshot["snapshot-id"]
+        if known not in self.listed:
+            self.listed[known] = self._list(snapshot)
+        found, manifests = self.listed[known]
+        kept = [x for x in found if not skip(x.stats, predicate)]
+        return kept + (self._pruned_by_executors(manifests, predicate) if manifests else [])
+
+    def _list(self, snapshot: dict) -> tuple[list[DataFile], list[str]]:
+        columns, specs = self.metadata.schema, self.metadata.specs
         if "manifest-list" in snapshot:
             listed = self._read(snapshot["manifest-list"])
         else:  # v1 tables may name their manifests directly
@@ -211,7 +272,7 @@ class IcebergTable:
         rows = json.loads(listed) if listed.lstrip()[:1] == b"[" else list(records(listed))
         for row in rows:
             if "data_file" in row:
-                found.append(data_file(row, columns))
+                found.append(data_file(row, columns, specs))
                 continue
             if row.get("content", 0):
                 raise IcebergError("tables with delete files can't be read")
@@ -222,17 +283,17 @@ class IcebergTable:
                 manifests.append(where)
         if len(manifests) <= FEW_MANIFESTS:
             for where in manifests:
-                found += [data_file(x, columns) for x in records(self._read(where))]
-            return [x for x in found if x and not skip(x.stats, predicate)]
-        return [x for x in found if x and not skip(x.stats, predicate)] + self._pruned_by_executors(manifests, predicate)
+                found += [data_file(x, columns, specs) for x in records(self._read(where))]
+            manifests = []
+        return [x for x in found if x], manifests
 
     def _pruned_by_executors(self, manifests: list[str], predicate) -> list[DataFile]:
-        columns = self.metadata.schema
+        columns, specs = self.metadata.schema, self.metadata.specs
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for content in batch.column(0):
-                    live = [x for e in records(content.as_py()) if (x := data_file(e, columns)) and not skip(x.stats, predicate)]
+                    live = [x for e in records(content.as_py()) if (x := data_file(e, columns, specs)) and not skip(x.stats, predicate)]
                     yield pa.RecordBatch.from_arrays([pa.array([x.path for x in live], pa.string()), pa.array([x.format for x in live], pa.string()), pa.array([x.stats.records for x in live], pa.int64())], names=["path", "format", "records"])
 
         content = self.spark.read.format("binaryFile").load([self._resolve(x) for x in manifests]).select("content")
@@ -246,8 +307,15 @@ class IcebergTable:
         if other := {x.format for x in kept} - {"PARQUET"}:
             raise IcebergError(f"unsupported file format: {', '.join(sorted(other))}")
         paths = [self._resolve(x.path) for x in kept]
-        # renamed columns are found by id where files have ids; columns that a file lacks are null
-        ids = has_field_ids(self.spark, paths[0])
-        if ids:
-            self.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
-        return self.spark.read.schema(self.metadata.struct_of(ids)).parquet(*paths)
+        # renamed columns are found by id in files that have ids; columns that a file lacks are null
+        unknown = [x for x in paths if x not in self.with_ids]
+        with ThreadPoolExecutor(16) as pool:
+            self.with_ids.update(zip(unknown, pool.map(lambda x: has_field_ids(self.spark, x), unknown), strict=True))
+        out = None
+        for ids in (True, False):
+            if own := [x for x in paths if self.with_ids[x] == ids]:
+                if ids:  # only has to do with schemas that name ids, as this one
+                    self.spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
+                part = self.spark.read.schema(self.metadata.struct_of(ids)).parquet(*own)
+                out = part if out is None else out.unionByName(part)
+        return out

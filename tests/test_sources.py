@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -8,8 +9,9 @@ from loam.engine import Engine
 from loam.lake import container, encode, write_avro, write_iceberg
 from loam.sources import detect
 from loam.sources.avro_codec import AvroError, header, records
-from loam.sources.iceberg import IcebergError, IcebergTable, Metadata, latest_metadata, resolve
+from loam.sources.iceberg import Column, IcebergError, IcebergTable, Metadata, data_file, latest_metadata, resolve
 from loam.sources.parquet import footer
+from loam.sources.pruning import skip
 
 ROW = {"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"]}, {"name": "c", "type": ["double", "null"]}, {"name": "d", "type": {"type": "array", "items": "int"}}, {"name": "e", "type": {"type": "map", "values": "boolean"}}, {"name": "f", "type": "float"}, {"name": "g", "type": "bytes"}]}
 VALUES = st.fixed_dictionaries({"a": st.integers(-(2**63), 2**63 - 1), "b": st.none() | st.text(), "c": st.none() | st.floats(allow_nan=False), "d": st.lists(st.integers(-(2**31), 2**31 - 1), max_size=3), "e": st.dictionaries(st.text(max_size=3), st.booleans(), max_size=3), "f": st.floats(width=32, allow_nan=False), "g": st.binary(max_size=5)})
@@ -116,10 +118,63 @@ def test_iceberg_reads_and_prunes(spark, lake):
         assert rows(pruned) == rows(df.where(where))
     assert len(engine.sql("SELECT * WHERE id < 30").inputFiles()) == 1
     assert len(engine.sql("SELECT * WHERE price < 0").inputFiles()) == 0
-    assert len(engine.sql("SELECT * WHERE NOT id < 190").inputFiles()) == 5
+    assert len(engine.sql("SELECT * WHERE NOT id < 190").inputFiles()) == 1
     assert len(engine.sql("SELECT *").inputFiles()) == 5
 
 
+def test_iceberg_prunes_wherever_filters_get_to(spark, lake):
+    path, df = lake
+    engine = Engine(spark)
+    engine.connect(path)
+    files = lambda text: len(engine.sql(text).inputFiles())
+    assert files(f"SELECT a.id FROM '{path}' a JOIN (SELECT 7 AS x) b ON a.id = b.x WHERE a.id < 30") == 1
+    assert files("WITH q AS (SELECT id, k) SELECT * FROM q WHERE id BETWEEN 1 AND 5") == 1
+    assert files("SELECT count(*) FROM (SELECT id AS i, price) WHERE i > 190") == 1
+    assert files("SELECT id WHERE id < 30 UNION ALL SELECT id WHERE id > 190") == 2
+    assert files(f"SELECT a.id FROM '{path}' a, '{path}' b WHERE a.id = b.k AND a.id < 5") == 5
+    assert files("SELECT * WHERE id < 30 + extract(YEAR FROM current_date())") == 5
+    assert rows(engine.sql("SELECT id WHERE id < 30 UNION ALL SELECT id WHERE id > 190")) == rows(df.where("id < 30 OR id > 190").select("id"))
+
+
+def test_quotes_zones_and_nested_fields_lose_no_rows(spark, tmp_path):
+    df = spark.sql("SELECT id, IF(id % 2 = 0, 'it''s', concat('n', id)) AS name, TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(id) AS ts FROM range(60)")
+    path = write_iceberg(df, f"{tmp_path}/q", parts=4, by="id")
+    engine = Engine(spark)
+    engine.connect(path)
+    for where in ("name = 'it''s'", "name <> 'it''s'", "ts >= TIMESTAMP '2020-01-05 00:00:00Z'", "ts < TIMESTAMP_NTZ '2020-01-05 00:00:00'", "name IS DISTINCT FROM 'n3'", "extract(DAY FROM ts) = 3"):
+        assert rows(engine.sql(f"SELECT * WHERE {where}")) == rows(df.where(where)), where
+    assert len(engine.sql("SELECT * WHERE ts < TIMESTAMP_NTZ '2020-01-05 00:00:00'").inputFiles()) == 1
+
+
+_LITERALS = {"id": st.integers(-5, 210).map(str), "price": st.sampled_from(["0.5", "17", "1e2", "99.5D"]), "name": st.sampled_from(["'n7'", "'it''s'", "''", "'n\\\\x'", "\"n19\""]), "k": st.integers(-1, 8).map(str), "gap": st.just("150")}
+_CONDITIONS = st.recursive(
+    st.sampled_from(list(_LITERALS)).flatmap(lambda c: st.one_of(st.tuples(st.just(c), st.sampled_from(["<", "<=", ">", ">=", "=", "<>", "IS DISTINCT FROM"]), _LITERALS[c]).map(" ".join), st.sampled_from([f"{c} IS NULL", f"{c} IS NOT NULL"]), st.tuples(_LITERALS[c], _LITERALS[c]).map(lambda v, c=c: f"{c} BETWEEN {v[0]} AND {v[1]}"), st.lists(_LITERALS[c], min_size=1, max_size=3).map(lambda v, c=c: f"{c} IN ({', '.join(v)})"))),
+    lambda t: st.one_of(st.tuples(t, st.sampled_from(["AND", "OR"]), t).map(lambda x: f"({x[0]} {x[1]} {x[2]})"), t.map(lambda x: f"NOT ({x})")),
+    max_leaves=3,
+)
+
+
+@settings(max_examples=25, deadline=None)
+@given(_CONDITIONS)
+def test_any_condition_keeps_its_rows(spark, lake, where):
+    path, df = lake
+    engine = Engine(spark)
+    engine.connect(path)
+    assert engine.sql(f"SELECT count(*) AS n WHERE {where}").first()[0] == df.where(where).count(), where
+
+
+def test_partitions_have_bounds():
+    columns = [Column(1, "d", "date", False), Column(2, "n", "long", False), Column(3, "s", "string", False), Column(4, "ts", "timestamp", False)]
+    spec = lambda name, source, transform: {"name": name, "source-id": source, "transform": transform, "field-id": 1000}
+    specs = [{"spec-id": 0, "fields": [spec("d_month", 1, "month"), spec("n_cut", 2, "truncate[10]"), spec("s", 3, "identity"), spec("ts_hour", 4, "hour"), spec("b", 2, "bucket[4]")]}]
+    entry = {"status": 1, "data_file": {"file_path": "f", "record_count": 1, "partition": {"d_month": -1, "n_cut": -20, "s": "x", "ts_hour": 25, "b": 3, "other": 1}}}
+    found = data_file(entry, columns, specs).stats
+    assert found.lower == {"d": datetime.date(1969, 12, 1), "n": -20, "s": "x", "ts": datetime.datetime(1970, 1, 2, 1)}
+    assert found.upper == {"d": datetime.date(1969, 12, 31), "n": -11, "s": "x", "ts": datetime.datetime(1970, 1, 2, 1, 59, 59, 999999)}
+    assert skip(found, (">", "n", -11)) and not skip(found, ("=", "n", -15)) and skip(found, ("<", "d", datetime.date(1969, 12, 1)))
+    assert not data_file(entry, columns, [*specs, {"spec-id": 1, "fields": [spec("s", 2, "identity")]}]).stats.lower.get("s")
+
+
 def test_many_manifests_are_read_by_executors(spark, lake, monkeypatch):
     import loam.sources.iceberg as module
 
