@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +18,19 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode), a folder of our own is set.
+    Where the session names none, a folder of our own serves in local mode; on a cluster that raises.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         context.setCheckpointDir(named)
         named = context.getCheckpointDir()
@@ -59,7 +66,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the files of what ``materialise`` returned; nothing may read it any more."""
+    if (path := _path_of.pop(df, None) if df is not None else None) is not None:
+        _written.remove((df.sparkSession, path))
+        remove(df.sparkSession, path)
+
+
+def written() -> int:
+    """How many paths of the shared folder are in use, for ``discard_since``."""
+    return len(_written)
+
+
+def discard_since(mark: int, keep: DataFrame) -> None:
+    """Deletes all paths since ``mark = written()`` but that of ``keep``."""
+    for spark, path in _written[mark:]:
+        if path != _path_of.get(keep):
+            _written.remove((spark, path))
+            remove(spark, path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name like ``name`` that is no column's, in any case."""
+    while name.lower() in {x.lower() for x in columns}:
+        name += "_"
+    return name
+
+
+def trim_memory() -> None:
+    """Gives what a Python worker has freed back to the system; called at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round hangs nodes on smaller neighbours with aggregates that combine before the shuffle and
     joins whose hot keys can be split; no component is gathered anywhere. Rounds grow with the
-    logarithm of the longest path. Every round is written to the shared folder.
+    logarithm of the longest path. Every round is written to the shared
+    folder, and its predecessor's files go.
     """
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -23,7 +24,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        now = materialise(small, "edges")
+        last, now = now, materialise(small, "edges")
+        discard(last)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == state:
             break

@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from loam.llm.components import connected
 from loam.llm.exact_dedup import exact_dedup
 from loam.llm.line_dedup import line_dedup, passage_dedup
-from loam.llm.ngram_jaccard import Hashes, ngram_jaccard, shingles, trie_links
+from loam.llm.ngram_jaccard import ngram_jaccard, shingle_sets, trie_links
 
 WIDE = "doc_id bigint, text string, digest string, uid int, best string, source string"
 
@@ -154,6 +155,29 @@ def family(seed, count, words=60, edits=4):
     return out
 
 
+def shingles(text):
+    return next(shingle_sets(pa.array([text]), 5))[0]
+
+
+def test_shingle_sets(monkeypatch):
+    import loam.llm.words as words
+
+    random = np.random.default_rng(5)
+    texts = [" ".join(random.choice(["a", "Bc", "é" * 13, "w" * 30, "\t", "\n\n", ""], random.integers(0, 40))) for _ in range(300)] + [None, "", "x " * 900]
+    apart = [shingles(t).tolist() for t in texts]
+    names = {}
+    for text, found in zip(texts, apart, strict=True):
+        w = (text or "").encode().lower().split()
+        wanted = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        assert len(found) == len(wanted) and found == sorted(found)
+        names.setdefault(tuple(sorted(wanted)), set()).add(tuple(found))
+    assert all(len(x) == 1 for x in names.values()) and len({x for v in names.values() for x in v}) == len(names)
+    for slab in (1, 100, 10_000):
+        monkeypatch.setattr(words, "SLAB", slab)
+        together = [v[a:b].tolist() for v, bounds in shingle_sets(pa.array(texts), 5) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert together == apart
+
+
 def test_ngram_jaccard(spark):
     texts = [t for seed in range(5) for t in family(seed, 9)] + ["A b\tC", "a B c", "one two three four five", None, "", "  ", "x " * 3000, "x " * 3001]
     rows = [(1000 - 7 * i, t) for i, t in enumerate(texts)]
@@ -180,8 +204,6 @@ def test_ngram_jaccard_very_long(spark):
 
 @pytest.mark.parametrize("held", [3, 10, 1000])
 def test_groups_come_whole(monkeypatch, held):
-    import pyarrow as pa
-
     import loam.llm.ngram_jaccard as module
 
     monkeypatch.setattr(module, "HELD", held)
@@ -201,13 +223,12 @@ def test_ngram_jaccard_edges(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_links(seed):
-    hashes = Hashes()
     rows = [(i, t) for i, t in enumerate(family(seed, 40, edits=9))]
     first = {}
     for i, t in rows:
-        first.setdefault(shingles(t, 5, hashes).tobytes(), i)
+        first.setdefault(shingles(t).tobytes(), i)
     own = sorted(first.values())
-    sets = [shingles(rows[i][1], 5, hashes) for i in own]
+    sets = [shingles(rows[i][1]) for i in own]
     roots = trie_links(np.array(own), np.array([len(s) for s in sets]), sets, 75)
     assert roots.tolist() == [c for _, _, c in brute_components([rows[i] for i in own])]
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loam.llm import lang_id
+from loam.llm import lang_id, ngram_jaccard
 from loam.llm.decontaminate import words
 from tests.llm.test_dedup import brute_components, family
 from tests.llm.test_text import brute_hits, brute_targets
@@ -98,4 +98,22 @@ def test_stages_keep_the_columns(spark, folder):
             assert out.schema.simpleString() == given.schema.simpleString(), name
             assert out.count() <= 2 * given.count()
     assert corpus_pipeline.drop_near_copies(spark, odd, folder[0]).count() == 2
+    clash = docs.limit(9).selectExpr("*", "1 AS __copy", "2 AS copy", "3 AS Row", "4 AS row_", "5 AS keep_row")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, folder[0]).schema.simpleString() == clash.schema.simpleString(), name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "mixing", "token_output"]
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (9, ""), (9, ""), (None, None)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, a), (5, b), (None, c), (9, ""), (9, ""), (None, None)], key=repr)
+
+
+@pytest.mark.parametrize("module", ["ngram_jaccard", "pipeline"])
+def test_many_ids_are_joined_instead_of_sent(spark, folder, monkeypatch, module):
+    monkeypatch.setattr(ngram_jaccard if module == "ngram_jaccard" else corpus_pipeline, "MOST_BROADCAST", 0)
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    smallest = {doc_id for doc_id, _, low in brute_components([r[:2] for r in folder[1]]) if doc_id == low}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, folder[0]).collect()} == smallest
