@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import decontaminate, lang_id, mixing, ngram_jaccard, token_store
-from loam.llm.common import materialise, table
+from loam.llm.common import discard, discard_since, fresh, materialise, table, written
 from loam.llm.queries import tokenizer_path
 
 #: Ids of dropped documents that are broadcast (8 bytes each); with more, documents and ids are shuffled.
@@ -27,18 +27,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at a Jaccard similarity of 0.75, the one with the smallest
-    id. Rows that repeat an id and text become one; rows without an id stay unless others link to them."""
-    found = materialise(ngram_jaccard.ngram_jaccard(docs), "groups")
-    gone = materialise(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    """Of rows linked, directly or over others, by 5-word shingles at a Jaccard similarity of 0.75, the
+    one with the smallest id; null ids come after all others, and of equal ids one row stays. Rows are
+    told apart by a number of their own, so equal ids of unlike texts all stay. Rows without words
+    (null, empty and blank texts) link with nothing and stay. An empty table stays empty."""
+    row = fresh(docs.columns, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = ngram_jaccard.ngram_jaccard(numbered, row_id=row)
+    gone = materialise(found.where(F.col("row") != F.col("keep_row")).select(F.col("row").alias(row)), "gone")
     few = gone.count() <= MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = materialise(again, "again")
-    if again.limit(1).count():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
-    return kept
+    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +49,12 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
-    mixed = mixing.mix(docs, carry=tuple(docs.columns))
-    copies = mixed.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
-    return copies.drop("__copy")
+    """Each row as often as the mix takes it: 0, 1 or 2 times. Rows that share an id share a position and
+    are taken together; null sources are a source, null and empty texts have no words. An empty table
+    stays empty."""
+    mixed, copy = mixing.mix(docs, carry=tuple(docs.columns)), fresh(docs.columns, "copy")
+    copies = mixed.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias(copy))
+    return copies.drop(copy)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage has written goes when its result stands."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard_since(mark, docs)
+        discard(last)
+        last = docs
     return docs
