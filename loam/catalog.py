@@ -36,10 +36,10 @@ SQL = {
     "filter_parens": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND (o_totalprice > 1000 OR o_orderkey < 100)",
     "filter_bool_literal": "SELECT n_nationkey, n_name FROM nation WHERE TRUE AND NOT FALSE",
     "filter_boolean_column": "SELECT n_nationkey FROM (SELECT n_nationkey, n_regionkey = 1 AS flag FROM nation) x WHERE flag",
-    "filter_null_literal": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = NULL",
+    "filter_null_literal": "SELECT n_nationkey, n_name, n_nationkey = NULL AS unknown, NULL IS NULL AS yes, coalesce(NULL, n_regionkey) AS k FROM nation WHERE n_nationkey = NULL OR n_regionkey = 1",
     "filter_timestamp": "SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-02-01 00:00:00'",
-    "is_null": "SELECT c_custkey, c_name IS NULL AS without_name FROM customer WHERE c_name IS NULL OR c_acctbal > 9000",
-    "is_not_null": "SELECT count(*) AS n FROM customer WHERE c_name IS NOT NULL",
+    "is_null": "SELECT c_custkey, c_segment IS NULL AS without_segment FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_segment, c_acctbal FROM customer) x WHERE c_segment IS NULL OR c_acctbal > 9000",
+    "is_not_null": "SELECT count(*) AS n FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS c_segment FROM customer) x WHERE c_segment IS NOT NULL",
     "in_list": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9)",
     "between": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20",
     "like": "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE 'x_%'",
@@ -51,7 +51,7 @@ SQL = {
     "case_when": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS amount FROM lineitem",
     "comments_and_case": "select /* all */ o_orderkey -- the key\nFrOm orders WhErE o_orderkey <= 10",
     "count_star": "SELECT count(*) AS n FROM lineitem",
-    "count_col": "SELECT count(l_shipdate) AS n FROM lineitem",
+    "count_col": "SELECT count(nullif(l_returnflag, 'R')) AS n, count(*) AS n_rows, count(l_shipdate) AS n_dates FROM lineitem",
     "sum": "SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem",
     "avg": "SELECT CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS by_sum, avg(l_linenumber) AS number FROM lineitem",
     "min": "SELECT min(l_extendedprice) AS price, min(l_shipdate) AS day, min(l_returnflag) AS flag FROM lineitem",
@@ -91,7 +91,24 @@ SQL = {
     "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20",
     "cte": "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey",
     "subquery_in": "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
-    "subquery_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "subquery_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
+    "subquery_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
+    "boolean_equal": "SELECT n_nationkey, flag <> even AS differ FROM (SELECT n_nationkey, n_regionkey = 1 AS flag, n_nationkey % 2 = 0 AS even FROM nation) x WHERE flag = even OR flag = TRUE",
+    "boolean_not_equal": "SELECT n_nationkey FROM (SELECT n_nationkey, nullif(n_regionkey, 3) = 1 AS flag FROM nation) x WHERE flag <> FALSE OR flag != TRUE",
+    "not_over_null": "SELECT n_nationkey, NOT (k = 1) AS other FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x WHERE NOT (k = 1) OR n_nationkey < 5",
+    "null_logic": "SELECT n_nationkey, k = 1 AND n_nationkey < 9 AS conj, k = 1 OR n_nationkey < 9 AS disj FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x",
+    "not_in_null": "SELECT n_nationkey, k IN (1, 2) AS inside, k NOT IN (1, NULL) AS outside FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x",
+    "group_by_null": "SELECT c_segment, count(*) AS n, count(c_segment) AS named, max(c_acctbal) AS most FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS c_segment, c_acctbal FROM customer) x GROUP BY c_segment",
+    "agg_nulls": "SELECT count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS low, max(k) AS high, avg(k) AS mean FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x",
+    "distinct_null": "SELECT DISTINCT k FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x",
+    "order_nulls": "SELECT n_nationkey, k FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x ORDER BY k DESC NULLS FIRST, n_nationkey LIMIT 9",
+    "nan_order": "SELECT k, x > 1e300 AS above, x = CAST('NaN' AS DOUBLE) AS same FROM (SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN CAST('NaN' AS DOUBLE) ELSE n_regionkey * 1.5 END AS x FROM nation) y ORDER BY x DESC, k LIMIT 12",
+    "nan_groups": "SELECT count(*) AS n, count(DISTINCT x) AS kinds, max(x) = CAST('NaN' AS DOUBLE) AS most FROM (SELECT CASE WHEN n_regionkey = 2 THEN CAST('NaN' AS DOUBLE) ELSE CAST(n_regionkey AS DOUBLE) END AS x FROM nation) y",
+    "rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INT) AS overall FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "window_frames": "SELECT o_orderkey, CAST(sum(o_custkey) OVER w AS BIGINT) AS total, lag(o_orderkey) OVER d AS previous, lead(o_orderkey, 2) OVER d AS later, CAST(ntile(4) OVER d AS INT) AS quarter FROM orders WINDOW d AS (PARTITION BY o_custkey ORDER BY o_orderkey), w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+    "distinct_from": "SELECT n_nationkey, k IS DISTINCT FROM 1 AS other FROM (SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation) x WHERE k IS NOT DISTINCT FROM NULL OR k IS DISTINCT FROM 2",
+    "quoted_name": "SELECT n_nationkey, 'it''s' AS said FROM nation WHERE concat(n_name, 'x''s') <> 'it''s' AND n_name > 'A'",
     "subquery_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)",
 }
 
@@ -157,6 +174,10 @@ OWN = {
     "fromless_star": (_connected("region", "SELECT *"), "SELECT * FROM region"),
     "from_quoted_path": (_files("SELECT p_partkey, p_size FROM '{dir}/part.parquet' WHERE p_size < 5"), "SELECT p_partkey, p_size FROM part WHERE p_size < 5"),
     "from_file_name": (_files("SELECT n_name, r_name FROM nation.parquet n JOIN region.parquet r ON n.n_regionkey = r.r_regionkey"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "join_semi": (_sql("SELECT s_suppkey FROM supplier LEFT SEMI JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) n ON s_nationkey = n_nationkey"), "SELECT s_suppkey FROM supplier SEMI JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) n ON s_nationkey = n_nationkey"),
+    "join_anti": (_sql("SELECT s_suppkey FROM supplier LEFT ANTI JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) n ON s_nationkey = n_nationkey"), "SELECT s_suppkey FROM supplier ANTI JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) n ON s_nationkey = n_nationkey"),
+    "from_file_list": (_files("SELECT n_name, r_name FROM '{dir}/nation.parquet' n, region.parquet r WHERE n.n_regionkey = r.r_regionkey"), "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
+    "fromless_set": (_connected("nation", "SELECT n_regionkey AS k WHERE n_nationkey < 9 UNION ALL SELECT n_nationkey WHERE n_regionkey = (SELECT max(n_regionkey))"), "SELECT n_regionkey AS k FROM nation WHERE n_nationkey < 9 UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT max(n_regionkey) FROM nation)"),
     "head": (lambda spark, sf_dir: Engine(spark).head(f"{sf_dir}/region.parquet", 10), "SELECT * FROM region"),
 }
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from . import display
 from .plans.conditions import conditions, depends_on_the_clock, locations
-from .plans.dialect import rewrite
+from .plans.dialect import named, rewrite
 from .sources import detect, files
 from .sources.avro_source import read_avro
 from .sources.iceberg import IcebergTable
@@ -60,7 +60,16 @@ class Engine:
         if self._word(text) not in ("SELECT", "WITH"):
             raise ValueError("only SELECT queries are supported")
         bound = rewrite(text, self.connection.view if self.connection else None, lambda name: self._open(name).view)
-        return self._pruned(self.spark.sql(bound), bound)
+        narrow = {}
+        for c in self.views.values():
+            if c.kind == detect.AVRO and c.view in bound and (used := named(bound, c.frame.columns)) is not None and len(used) < len(c.frame.columns):
+                narrow[c.view] = c.frame
+                read_avro(self.spark, c.path, used).createOrReplaceTempView(c.view)
+        try:
+            return self._pruned(self.spark.sql(bound), bound)
+        finally:
+            for view, frame in narrow.items():
+                frame.createOrReplaceTempView(view)
 
     def show(self, text: str, full: bool = False) -> str:
         """A query's result as a console table; ``full SELECT ...`` shows all rows."""

@@ -1,11 +1,12 @@
 """Iceberg and Avro: small writers for examples and tests, and the queries over what they write.
 
 Sources of the driver's tables are Parquet only, so the queries first write a copy as an Iceberg
-table or as Avro files, with the JVM's own Avro library or a small encoder, to the shared folder.
+table or as Avro files, with a small encoder, to the shared folder.
 """
 
 from __future__ import annotations
 
+import atexit
 import datetime
 import json
 import os
@@ -13,19 +14,35 @@ import struct
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .engine import Engine
+from .sources.avro_source import opened
 
 _AVRO = {"bigint": "long", "int": "int", "double": "double", "float": "float", "string": "string", "boolean": "boolean"}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or, where none is set, a local temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, or, in local mode where none is set, a temporary one. It is
+    removed when the driver's Python ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/loam-{uuid.uuid4().hex[:12]}" if base else tempfile.mkdtemp(prefix="loam-")
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/loam-{uuid.uuid4().hex[:12]}" if base else tempfile.mkdtemp(prefix="loam-")
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        return
 
 
 def _write(spark: SparkSession, path: str, data: bytes) -> None:
@@ -98,9 +115,22 @@ def record_schema(df: DataFrame, name: str = "row") -> dict:
     return {"type": "record", "name": name, "fields": [{"name": c, "type": ["null", _AVRO[t]]} for c, t in df.dtypes]}
 
 
-def write_avro(df: DataFrame, path: str, codec: str = "null") -> None:
-    """Small tables only: the driver writes one file."""
-    _write(df.sparkSession, path, container(record_schema(df), [r.asDict() for r in df.collect()], codec=codec))
+def write_avro(df: DataFrame, path: str, codec: str = "null", block: int = 1000) -> None:
+    """A folder with one file for each partition, written by the executors; another run of a task writes the same file."""
+    schema, names = record_schema(df), df.columns
+
+    def run(batches):
+        store, inside = opened(path)
+        rows = [dict(zip(names, r, strict=True)) for batch in batches for r in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+        number = TaskContext.get().partitionId()
+        store.create_dir(inside, recursive=True)
+        attempt = f"{inside}/.{number}-{uuid.uuid4().hex}"
+        with store.open_output_stream(attempt) as out:
+            out.write(container(schema, rows, block, codec))
+        store.move(attempt, f"{inside}/part-{number:05}.avro")
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    df.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()  # one number
 
 
 def _bound(value) -> bytes | None:

@@ -1,22 +1,28 @@
 """Avro data files as DataFrames.
 
-Spark's own file source lists and fetches the files (``binaryFile``: any store, one task for each
-file or more), and Arrow batches are decoded next to the data.
+Files are read in ranges, each by a task of its own, which finds the blocks that start in its range by
+the file's sync marker; only the columns that a query names are decoded, and none for counts. Stores
+that Python can't open are read through Spark's ``binaryFile``, a task for each file.
 """
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import files
-from .avro_codec import AvroError, header, records
+from .avro_codec import CODECS, AvroError, Reader, blocks, columns_reader, header
 
-ROWS = 4096
+#: Rows of an Arrow batch; bytes of a range.
+ROWS, RANGE = 4096, 32_000_000
 _PLAIN = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "bytes": T.BinaryType(), "fixed": T.BinaryType(), "enum": T.StringType(), "null": T.NullType()}
 
 
@@ -81,26 +87,58 @@ def avro_schema(spark: SparkSession, path: str) -> T.StructType:
     return made
 
 
+def opened(path: str):
+    """(file system, path in it) by which Python reaches a path; None if it can't."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return pyarrow.fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), unquote(re.sub(r"^file:/*", "/", path))
+    try:
+        return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
 def read_avro(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All records of a file or folder; with ``columns``, these only."""
+    """All records of a file or folder; with ``columns``, these only (a column of nulls if there are none)."""
     schema = avro_schema(spark, path)
     if columns is not None:
-        schema = T.StructType([schema[c] for c in columns])
-    names, arrow = schema.fieldNames(), to_arrow_schema(schema, timestamp_utc=True)
+        schema = T.StructType([schema[c] for c in columns]) if columns else T.StructType([T.StructField("none", T.NullType())])
+    names, arrow = schema.fieldNames() if columns is None or columns else [], to_arrow_schema(schema, timestamp_utc=True)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(stream, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        read, out = None, [[] for _ in names]
+        for avro, codec, count, data in blocks(stream, begin, end):
+            if not names:
+                yield pa.RecordBatch.from_arrays([pa.nulls(count, x.type) for x in arrow], schema=arrow)
+                continue
+            read = read or columns_reader(avro, names)
+            r = Reader(CODECS[codec](data))
+            for _ in range(count):
+                read(r, out)
+                if len(out[0]) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                    out = [[] for _ in names]
+        if names and out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, begin, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                store, inside = opened(where)
+                with store.open_input_file(inside) as stream:
+                    yield from decoded(stream, begin, end)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows: list[dict] = []
-                for row in records(content.as_py()):
-                    rows.append({n: row.get(n) for n in names})
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
-
-    raw = spark.read.format("binaryFile")
-    if files.is_folder(spark, path):
-        raw = raw.option("pathGlobFilter", "*.avro")
-    return raw.load(path).select("content").mapInArrow(decode, schema)
+                yield from decoded(io.BytesIO(content.as_py()), 0, 1 << 62)
+
+    folder = files.is_folder(spark, path)
+    if opened(path) is None:
+        raw = spark.read.format("binaryFile")
+        return (raw.option("pathGlobFilter", "*.avro") if folder else raw).load(path).select("content").mapInArrow(whole, schema)
+    found = [f"{path.rstrip('/')}/{x}" for x in files.names(spark, path) if x.lower().endswith(".avro")] if folder else [path]
+    parts = [(x, at, at + RANGE) for x in found for at in range(0, max(1, files.size(spark, x)), RANGE)]
+    rows = spark.createDataFrame(parts, "path string, begin bigint, finish bigint").repartition(len(parts))
+    return rows.mapInArrow(ranges, schema)

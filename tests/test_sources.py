@@ -1,4 +1,5 @@
 import datetime
+import io
 import json
 
 import pytest
@@ -59,6 +60,46 @@ def test_avro_files(spark, typed, tmp_path, codec):
     assert [f.dataType.simpleString() for f in engine.schema()] == ["bigint", "int", "double", "string", "boolean"]
 
 
+def test_avro_is_split_and_narrow(spark, tmp_path, monkeypatch):
+    import loam.sources.avro_source as module
+
+    df = spark.range(5000).selectExpr("id", "concat('n', id) AS name", "CAST(id % 7 AS int) AS k", "CAST(IF(id % 3 = 0, NULL, id * 0.5) AS double) AS x").coalesce(1)
+    write_avro(df, f"{tmp_path}/t.avro", "deflate", block=100)
+    assert len([x for x in (tmp_path / "t.avro").iterdir() if x.suffix == ".avro"]) == 1
+    whole = rows(df)
+    for size in (100, 999, 7000, 10**9):
+        monkeypatch.setattr(module, "RANGE", size)
+        got = module.read_avro(spark, f"{tmp_path}/t.avro")
+        assert rows(got) == whole
+        if size == 999:
+            assert got.rdd.getNumPartitions() > 10 and got.rdd.glom().filter(len).count() > 5
+    engine = Engine(spark)
+    engine.connect(f"{tmp_path}/t.avro")
+    narrow = engine.sql("SELECT k, count(*) AS n, max(x) AS most WHERE K < 3 GROUP BY k")
+    assert rows(narrow) == rows(df.where("k < 3").groupBy("k").agg({"*": "count", "x": "max"}).select("k", "count(1)", "max(x)"))
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "name#" not in plan and "MapInArrow" in plan
+    assert engine.sql("SELECT count(*) AS n").first().n == 5000 and "name#" not in engine.sql("SELECT count(*) AS n")._jdf.queryExecution().analyzed().toString()
+    assert engine.sql("SELECT *").columns == df.columns
+    monkeypatch.setattr(module, "opened", lambda path: None)
+    assert rows(module.read_avro(spark, f"{tmp_path}/t.avro", ["x", "id"])) == rows(df.select("x", "id"))
+
+
+@given(st.lists(VALUES, max_size=9), st.sets(st.sampled_from("abcdefg")), st.integers(1, 80))
+def test_avro_ranges_and_columns(data, wanted, size):
+    from loam.sources.avro_codec import CODECS, Reader, blocks, columns_reader
+
+    raw, wanted = container(ROW, data, block=2), sorted(wanted)
+    out = [[] for _ in wanted]
+    for begin in range(0, len(raw), size):
+        for schema, codec, count, block in blocks(io.BytesIO(raw), begin, begin + size):
+            read, r = columns_reader(schema, wanted), Reader(CODECS[codec](block))
+            for _ in range(count):
+                read(r, out)
+            assert r.at == len(r.data)
+    assert out == [[row[c] for row in data] for c in wanted]
+
+
 def test_empty_avro_and_nested(spark, tmp_path):
     (tmp_path / "e.avro").write_bytes(container(ROW, []))
     (tmp_path / "n.avro").write_bytes(container(ROW, [{"a": 1, "b": None, "c": 2.0, "d": [1, 2], "e": {"k": True}, "f": 0.5, "g": b"x"}]))
