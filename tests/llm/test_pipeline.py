@@ -40,8 +40,8 @@ def plain(spark, path, rows, items):
     model = lang_id.train(spark.read.parquet(f"{path}/documents.parquet"))
 
     def known(text):
-        found = [f for w in lang_id.LETTERS.findall((text or "").lower()) for f in lang_id.features(w)]
-        return bool(found) and lang_id.softmax(model.logits(model.table[found].mean(axis=0))).max() >= model.floor
+        found = lang_id.features(lang_id.LETTERS.findall((text or "").lower()))[0]
+        return len(found) > 0 and lang_id.softmax(model.logits(model.table[found].mean(axis=0))).max() >= model.floor
 
     kept = [r for r in rows if known(r[1])]
     smallest = {doc_id for doc_id, _, low in brute_components([r[:2] for r in kept]) if doc_id == low}
