@@ -57,7 +57,7 @@ class Encoder:
     """Ids, and the characters that tokens cover, of many texts at once. ``limit`` bounds the pieces remembered
     (about 150 bytes each)."""
 
-    def __init__(self, path: str, limit: int = 700_000, special: tuple[str, ...] = ()) -> None:
+    def __init__(self, path: str, limit: int = 400_000, special: tuple[str, ...] = ()) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, processors
 

@@ -15,7 +15,7 @@ import xxhash
 
 WIDE = 24
 #: Bytes of the texts that are worked on at once; a longer text is worked on alone.
-SLAB = 4_000_000
+SLAB = 1_500_000
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
