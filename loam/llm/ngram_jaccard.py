@@ -267,7 +267,7 @@ def _candidates(texts: DataFrame, size: int, percent: int) -> DataFrame:
 def _profiles(texts: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
     """``cls, n, q, tokens``: shared shingles, rare first; the first q are the prefix (step 2)."""
     few = candidates.count() <= MOST_BROADCAST
-    ids = np.sort(np.array([x.cls for x in candidates.collect()], np.int64)) if few else None
+    ids = np.sort(candidates.toArrow().column(0).to_numpy()) if few else None
     sent = texts.sparkSession.sparkContext.broadcast(ids)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,7 +173,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     again = names.groupBy("digest").agg(F.min(F.struct("shard", "row", "k")).alias("owner"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     again = materialise(again, "again")
     if again.count() <= MOST_BROADCAST:
-        chunks = _chunk_rows(encoded, {bytes(x.digest): tuple(x.owner) for x in again.collect()})
+        sent = again.select("digest", "owner.shard", "owner.row", "owner.k").toArrow()
+        chunks = _chunk_rows(encoded, dict(zip(sent["digest"].to_pylist(), zip(*(sent[x].to_pylist() for x in ("shard", "row", "k")), strict=True), strict=True)))
     else:
         chunks = _chunk_rows(encoded, None).dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
