@@ -2,8 +2,8 @@
 
 A document is a bag of sentences and only the bag has a label. A sentence's score is a logistic
 function of the summed weights of its words; a word's weight is that of its hashed features (the
-word, its beginnings and its character 4-grams). A document is toxic if any sentence is: its score
-is the noisy-or of its sentences' scores. The weights are trained from document labels through the
+word, its beginnings and its character 4-grams). Sentences end with certain signs before a space, and
+with lines. A document is toxic if any sentence is: its score is the noisy-or of its sentences' scores. The weights are trained from document labels through the
 noisy-or; afterwards the sentence scores say where the offence stands.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,21 +19,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, trim_memory
+from .words import Table, padded, slabs
+
 BUCKETS = 1 << 18
 LETTERS = re.compile(r"[^\W_]+")
 ENDS = (".", "!", "?", "…", "。", "！", "？", "\n")
 SCORED = "score double, predicted int, sentences array<struct<n:int,score:double,text:string>>"
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a lower-case word: itself, its beginnings of 3 to 6 letters, its 4-grams."""
-    out = {f"={word}"} | {f"^{word[:k]}" for k in range(3, 7) if len(word) > k} | {word[i : i + 4] for i in range(len(word) - 3)}
-    return sorted({zlib.crc32(x.encode()) % BUCKETS for x in out})
-
-
-def pieces(text: str | None) -> list[str]:
-    """What stands between spaces; line ends are pieces of their own."""
-    return (text or "").replace("\n", " \n ").split(" ")
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each lower-case word (itself, its beginnings of 3 to 6 letters, its 4-grams), and for
+    each bucket the number of its word."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(starts + size, size) - np.arange(len(codes))  # letters from here to the word's end
+    grams, kinds = np.zeros(len(codes), np.uint64), []
+    for k in range(1, 7):
+        full = max(0, len(codes) - k + 1)
+        grams[:full] = grams[:full] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
+        if k >= 3:
+            longer = np.flatnonzero(size > k)
+            kinds.append((_bucket(grams[starts[longer]], k), longer))
+        if k == 4:
+            whole = left >= 4
+            kinds.append((_bucket(grams[whole], 8), owner[whole]))
+    place = np.uint64(0xD6E8FEB86659FD93) ** (np.arange(len(codes)) - np.repeat(starts, size)).astype(np.uint64)
+    kinds.append((_bucket(np.add.reduceat(codes * place, starts), 0), np.arange(len(words))))
+    both = np.unique(np.concatenate([of * BUCKETS + f for f, of in kinds]))
+    return both % BUCKETS, both // BUCKETS
+
+
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h ^ np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def pieces(data: np.ndarray, n: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of what stands between spaces, line ends being pieces of their own, and the first piece of
+    each text (one more at the end)."""
+    space, line = data[:n] == 32, data[:n] == 10
+    starts = ~space
+    starts[1:] &= space[:-1] | line[:-1] | line[1:]
+    inner = bounds[:-1][bounds[:-1] < n]
+    starts[inner] = ~space[inner]
+    edge = space | starts
+    edge[inner] = True
+    at, edges = np.flatnonzero(starts), np.append(np.flatnonzero(edge), n)
+    return at, edges[np.searchsorted(edges, at, "right")], np.searchsorted(at, bounds)
+
+
+def ends_sentence(piece: str) -> bool:
+    return piece.rstrip("\"')]»”’").endswith(ENDS)
+
+
+def sentences(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First pieces of the sentences of all texts, and the first sentence of each text (one more at the end), from
+    the first piece of each text and whether a sentence ends with a piece."""
+    starts = np.ones(len(ends), bool)
+    starts[1:] = ends[:-1]
+    starts[first[:-1][first[:-1] < len(ends)]] = True
+    at = np.flatnonzero(starts)
+    return at, np.searchsorted(at, first)
 
 
 @dataclass
@@ -44,29 +96,55 @@ class Model:
     cut: float = 0.0
 
 
-class Words(dict):
-    """Numbers of pieces; ``values``: their weights, ``ends``: whether a sentence ends with them."""
+class Words:
+    """Pieces of texts, with the summed weights of their words and whether sentences end with them."""
+
+    def __init__(self, value: Callable[[list[str]], np.ndarray] | None, limit: int = 400_000) -> None:
+        self.value, self.limit = value, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.table, self.values, self.ends, self.names = Table(self._learn), np.zeros(0), np.zeros(0, bool), []
 
-    LIMIT = 1_000_000
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = data.tobytes()
+        new = [raw[a:b].decode(errors="replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self.ends = np.concatenate([self.ends, np.fromiter(map(ends_sentence, new), bool, len(new))])
+        if self.value is None:
+            self.names += new
+        else:
+            self.values = np.concatenate([self.values, self.value(new)])
 
-    def __init__(self, weights: np.ndarray) -> None:
-        super().__init__()
-        self.weights, self.values, self.ends = weights, np.zeros(1024), np.zeros(1024, bool)
+    def split(self, texts: pa.Array) -> Iterator[tuple]:
+        """For some texts after the other: their bytes, the places and numbers of their pieces, and the first
+        piece of each text."""
+        for _, raw, bounds in slabs(texts):
+            data = padded(raw)
+            starts, ends, first = pieces(data, len(raw), bounds)
+            if self.value is not None and self.table.count > self.limit:
+                self.forget()
+            yield raw, starts, ends, self.table.numbers(data, starts, ends), first
 
-    def __missing__(self, piece: str) -> int:
-        number = len(self)
-        if number == len(self.values):
-            self.values, self.ends = np.concatenate([self.values, self.values * 0]), np.concatenate([self.ends, ~self.ends & False])
-        self.values[number] = sum(float(self.weights[features(x)].sum()) for x in LETTERS.findall(piece.lower()))
-        self.ends[number] = piece.rstrip("\"')]»”’").endswith(ENDS)
-        self[piece] = number
-        return number
 
-    def sentences(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each sentence starts in ``found``, and its summed weights."""
-        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        starts = np.flatnonzero(np.concatenate([[True], self.ends[numbers[:-1]]]))
-        return starts, np.add.reduceat(self.values[numbers], starts)
+def words_of(found: list[str]) -> tuple[list[str], np.ndarray]:
+    """The lower-case words in some pieces, and for each the number of its piece."""
+    parts = [LETTERS.findall(x.lower()) for x in found]
+    return [w for x in parts for w in x], np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def weigh(weights: np.ndarray) -> Callable[[list[str]], np.ndarray]:
+    """A function from pieces to the summed weights of their words."""
+
+    def value(found: list[str]) -> np.ndarray:
+        out = np.zeros(len(found))
+        for begin in range(0, len(found), 20_000):
+            words, of = words_of(found[begin : begin + 20_000])
+            bucket, owner = features(words)
+            if len(bucket):
+                out[begin : begin + 20_000] += np.bincount(of[owner], weights[bucket], len(found[begin : begin + 20_000]))
+        return out
+
+    return value
 
 
 def log_odds(z: np.ndarray) -> float:
@@ -83,31 +161,34 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.1
     """
     if len(set(labels)) < 2:
         return None
-    vocabulary: dict[str, int] = {}
-    tokens, sentence, document, n = [], [], [], 0
-    for d, text in enumerate(texts):
-        words = [vocabulary.setdefault(x, len(vocabulary)) for x in pieces(text)]
-        tokens.append(np.array(words, np.int32))
-    names = list(vocabulary)
-    ends = np.array([x.rstrip("\"')]»”’").endswith(ENDS) for x in names])
-    for d, t in enumerate(tokens):
-        begins = np.concatenate([[True], ends[t[:-1]]])
-        sentence.append((n - 1 + np.cumsum(begins)).astype(np.int32))
-        document.append(np.full(int(begins.sum()), d, np.int32))
-        n += int(begins.sum())
-    lists = [[f for w in LETTERS.findall(x.lower()) for f in features(w)] for x in names]
-    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    bucket = np.fromiter((f for x in lists for f in x), np.int32, len(owner))
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    vocabulary, t, s, document, tokens, n = Words(None), [], [], [], [], 0
+    for _, _, _, numbers, first in vocabulary.split(pa.array(texts, pa.large_string())):
+        at, of = sentences(first, vocabulary.ends[numbers])
+        numbers = numbers.astype(np.int32)
+        t.append(numbers)
+        s.append((n + np.repeat(np.arange(len(at)), np.diff(np.append(at, len(numbers))))).astype(np.int32))
+        document.append((len(tokens) + np.repeat(np.arange(len(first) - 1), np.diff(of))).astype(np.int32))
+        tokens += [numbers[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        n += len(at)
+    lists, owners, buckets = vocabulary.names, [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for begin in range(0, len(lists), 20_000):  # some 25 features a word
+        words, of = words_of(lists[begin : begin + 20_000])
+        own, word = features(words)
+        owners.append((begin + of[word]).astype(np.int32))  # the piece; sorted, as words are
+        buckets.append(own.astype(np.int32))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    del owners, buckets, vocabulary
+    trim_memory()
+    starts = np.searchsorted(owner, np.arange(len(lists) + 1))
     seen, toxic, total = np.zeros((2, BUCKETS)), np.array(labels) == 1, len(labels)
     for d, words in enumerate(tokens):
         own = np.unique(words)
-        held = np.concatenate([bucket[starts[w] : starts[w + 1]] for w in own.tolist()])
+        held = np.concatenate([bucket[starts[w] : starts[w + 1]] for w in own.tolist()] or [bucket[:0]])
         seen[int(toxic[d]), np.unique(held)] += 1
     rates, both = (seen + 0.5) / (np.array([(~toxic).sum(), toxic.sum()])[:, None] + 1), (seen.sum(axis=0) + 1) / (total + 2)
     strong = (rates[1] - rates[0]) / np.sqrt(both * (1 - both) * (1 / toxic.sum() + 1 / (~toxic).sum())) >= significance
     owner, bucket = owner[strong[bucket]], bucket[strong[bucket]]
-    t, s, doc, y = np.concatenate(tokens), np.concatenate(sentence), np.concatenate(document), np.array(labels)
+    t, s, doc, y = np.concatenate(t), np.concatenate(s), np.concatenate(document), np.array(labels)
     used = (np.arange(len(y)) % held_back != 0) | (len(y) < 4 * held_back)
     positive = y == 1
     balance = np.where(positive, 0.5 / max(1, (positive & used).sum()), 0.5 / max(1, (~positive & used).sum())) * used * used.sum()
@@ -155,9 +236,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, longest: int
     toxic = min(counts.get(1, 0), rows // 2)
     share = F.when(F.col("toxic") == 1, F.lit(toxic / max(1, counts.get(1, 0)))).when(F.col("toxic") == 0, F.lit((rows - toxic) / max(1, counts.get(0, 0)))).otherwise(F.lit(0.0))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(spot < share).limit(2 * rows)
-    got = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(4 * rows).collect()
-    got.sort(key=lambda x: (zlib.crc32(x.text.encode()), x.text))
+    chosen = known.where(spot < share).orderBy(spot, "doc_id").limit(2 * rows)
+    got = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    got = got.orderBy(spot, "doc_id", F.xxhash64("text"), "text").limit(4 * rows).select("text", "toxic").collect()
+    got.sort(key=lambda x: (zlib.crc32(x.text.encode()), x.text, x.toxic))
     return [x.text for x in got], [x.toxic for x in got]
 
 
@@ -170,31 +252,41 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
+    kinds = pa.list_(pa.struct([("n", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = sent.value, None
+        model = sent.value
+        words = Words(weigh(model.weights)) if model else None
         for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                if not model:
-                    out.append((0.0, 0, []))
-                    continue
-                if words is None or len(words) > Words.LIMIT:
-                    words = Words(model.weights)
-                found = pieces(text)
-                starts, sums = words.sentences(found)
-                z = sums + model.bias
-                chance = float(1 / (1 + np.exp(-np.clip(log_odds(z) - model.cut, -500, 500))))
-                worst = []
-                if chance >= 0.5:
-                    stops = [*starts[1:].tolist(), len(found)]
-                    least, order = min(0.0, float(z.max())), np.argsort(-z, kind="stable")
-                    for k in order[z[order] >= least].tolist():
-                        worst.append({"n": k, "score": float(1 / (1 + np.exp(-z[k]))), "text": " ".join(found[starts[k] : stops[k]]).strip()})
-                out.append((chance, int(chance >= 0.5), worst))
-            chance, label, worst = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chance, pa.float64()), pa.array(label, pa.int32()), pa.array(worst, pa.list_(pa.struct([("n", pa.int32()), ("score", pa.float64()), ("text", pa.string())])))], names=[*keep, "score", "predicted", "sentences"])
-
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+            row, texts = 0, batch.column(batch.num_columns - 1)
+            for raw, starts, ends, numbers, first in words.split(texts) if words else ():
+                n = len(first) - 1
+                at, of = sentences(first, words.ends[numbers])
+                z = model.bias + np.add.reduceat(words.values[numbers], at) if len(at) else np.zeros(0)
+                none = np.full(n, -np.logaddexp(0, model.bias))  # log of the chance that no sentence is toxic; of an empty text, it is one
+                some = np.flatnonzero(np.diff(of))
+                if len(some):
+                    none[some] = np.add.reduceat(-np.logaddexp(0, z), of[some])
+                none = np.minimum(none, -1e-300)
+                chance = 1 / (1 + np.exp(-np.clip(np.log(-np.expm1(none)) - none - model.cut, -500, 500)))
+                worst: list[list[dict]] = [[] for _ in range(n)]
+                for k in np.flatnonzero(chance >= 0.5).tolist():
+                    own = z[of[k] : of[k + 1]]
+                    least, order = min(0.0, float(own.max())) if len(own) else 0.0, np.argsort(-own, kind="stable")
+                    for i in order[own[order] >= least].tolist():
+                        a = int(at[of[k] + i])
+                        b = int(at[of[k] + i + 1]) if i + 1 < len(own) else int(first[k + 1])
+                        said = raw[int(starts[a]) : int(ends[b - 1])].decode(errors="replace").strip()
+                        worst[k].append({"n": i, "score": float(1 / (1 + np.exp(-own[i]))), "text": said})
+                yield pa.RecordBatch.from_arrays([*[x.slice(row, n) for x in batch.columns[:-1]], pa.array(chance), pa.array((chance >= 0.5).astype(np.int32)), pa.array(worst, kinds)], names=[*keep, "score", "predicted", "sentences"])
+                row += n
+            if not words:
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int32)), pa.array([[]] * n, kinds)], names=[*keep, "score", "predicted", "sentences"])
+        words = None
+        trim_memory()
+
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(list(keep), "text")))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(run, f"{types}, {SCORED}" if types else SCORED)
 
@@ -202,7 +294,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 5000, held_out_of: int = 5, held_out: int = 0) -> DataFrame:
     """Learns from labels of rows whose crc32(doc_id) mod ``held_out_of`` isn't ``held_out``; scores all rows.
 
-    ``doc_id, held_out, score, predicted, sentences``; ``rows`` bounds the training sample.
+    ``doc_id, held_out, score, predicted, sentences``, one row per input row; ``rows`` bounds the training
+    sample. Labels are joined by doc_id, the greatest of several; rows without an id are not learned from
+    and not held out. Texts are taken as by ``score``; rows that repeat get the same answer. An empty
+    table gives no rows; other columns are ignored.
     """
     out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held_out_of)) == held_out
     model = fit(*labelled_sample(docs, labels.where(~out), rows))
