@@ -1,12 +1,14 @@
 """Repeated runs of lines, by winnowing over line hashes (built-in SQL functions only).
 
-A run of at least ``run`` lines that repeats has equal windows of ``run`` lines, and equal windows
-have the same smallest line hash. So window minima are fingerprints that no repeat can miss. First
-the minima are counted, with map-side combining; windows whose minimum occurs in one window only
-go no further. The minima only choose windows: their places are not joined, and no match is extended
-from them. The chosen windows are joined by their content: all windows of a content but the first
-repeat it. Matches longer than a window are covered by their overlapping windows. Only counts and first places are gathered
-by key, never the members of a group.
+A run repeats if it has ``run`` lines, or fewer with ``long_words`` words together. Such a run holds a
+window: ``run`` adjacent lines, or fewer with so many words. The smallest line hash of each window
+(the first of equal ones) is its fingerprint; equal windows have it at the same place, so no repeat
+can be missed. Only the places of fingerprints are kept, each with the windows that chose it, which
+reach from it both ways. Fingerprints that stand at one place only go, after a count that is combined
+before the shuffle. The others are joined: a fingerprint's windows are compared, by two 64-bit
+hashes, with the first place of the same lines, and a match is extended by the windows that overlap
+it, so that whole runs go. All places are compared with the first one, never with each other: only
+counts and first places are gathered by key. Joins are sorted merges at every size; Spark splits hot keys.
 """
 
 from __future__ import annotations
@@ -17,45 +19,52 @@ from pyspark.sql import functions as F
 from .common import SPACES, materialise
 
 
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, long_words: int = 50) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_removed, text`` (null text: empty, one blank line).
 
     Lines end at U+000A and are compared without spaces (U+0020, U+0009 to U+000D) at their ends;
-    blank lines are skipped in runs and always stay. A line goes if it lies in a window of ``run``
-    lines of its document whose content stood earlier, in a document of smaller id or further up,
-    or if it has at least ``long_words`` words and stood earlier: the first place stays. Null ids
-    come last; rows with one id are ordered by text, and identical rows count as one document with
-    one result. Documents of fewer lines than ``run`` have no windows. An empty table gives no rows;
-    other columns are ignored, whatever their names.
+    blank lines are skipped in runs and always stay. A line goes if it lies in a run of adjacent lines
+    of its document that stood earlier, in a document of smaller id or further up, and has at least
+    ``run`` lines or at least ``long_words`` words: the first place stays. Null ids come last; rows
+    with one id are ordered by text, and identical rows count as one document with one result. An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    trimmed = lambda x: F.trim(x, F.lit(SPACES))
-    lines = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.xxhash64(trimmed(x)).alias("h"), (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= long_words).alias("long"), (trimmed(x) == "").alias("blank"))),
-        lambda x: ~x["blank"],
-    )
-    # one entry for each window: where it starts, its lines, its smallest line hash, its content's hash
-    def window(x, i):
-        part = F.slice("lines", i + 1, F.lit(run))
-        hashes = F.transform(part, lambda y: y["h"])
-        return F.struct(x["at"].alias("at"), F.transform(part, lambda y: y["at"]).alias("ats"), F.array_min(hashes).alias("low"), F.xxhash64(hashes).alias("gram"))
-
-    whole_windows = F.when(F.size("lines") >= run, F.transform(F.slice("lines", F.lit(1), F.size("lines") - run + 1), window)).otherwise(F.array().cast("array<struct<at:int,ats:array<int>,low:bigint,gram:bigint>>"))
-    single = F.transform(F.filter("lines", lambda x: x["long"]), lambda x: F.struct(x["at"].alias("at"), F.array(x["at"]).alias("ats"), x["h"].alias("low"), F.xxhash64(x["h"]).alias("gram")))
-    spots = materialise(
-        whole.select("doc_id", "th", lines.alias("lines")).select("doc_id", "th", F.explode(F.concat(whole_windows, single)).alias("w")).select("doc_id", "th", "w.*"),
-        "windows",
-    )
-    repeated = spots.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
-    found = spots.join(repeated, "low", "left_semi")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "at")
-    alike = [F.col("low"), F.col("gram"), F.size("ats").alias("k")]
-    first = found.groupBy(*alike).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.withColumn("k", F.size("ats")).join(first, ["low", "gram", "k"]).where(place > F.col("first"))
+    line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), (x == "").alias("blank"))
+    lines = F.filter(F.transform(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(SPACES))), line), lambda x: ~x["blank"])
+
+    def windows(place):
+        """The windows around a place whose first smallest line hash it has."""
+        at = lambda j, what: F.get("lines", place + j)[what]
+        found = []
+        for k in range(1, run + 1):
+            for begin in range(1 - k, 1):
+                inside = range(begin, begin + k)
+                chosen = at(begin, "h").isNotNull() & at(begin + k - 1, "h").isNotNull()
+                if k < run:
+                    chosen &= sum((at(j, "n") for j in inside), F.lit(0)) >= long_words
+                for j in inside:
+                    if j:
+                        chosen &= at(j, "h") > at(0, "h") if j < 0 else at(j, "h") >= at(0, "h")
+                found.append(F.when(chosen, F.struct(F.array(*[at(j, "at") for j in inside]).alias("ats"), F.xxhash64(*[at(j, "h") for j in inside]).alias("gram"), F.xxhash64(*[at(j, "g") for j in inside]).alias("gram2"))))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    prints = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(F.get("lines", i)["h"].alias("low"), windows(i).alias("windows")))
+    prints = F.filter(prints, lambda x: F.size(x["windows"]) > 0)
+    spots = whole.select("doc_id", "th", lines.alias("lines")).where(F.size("lines") > 0).select("doc_id", "th", F.explode(prints).alias("p")).select("doc_id", "th", "p.*")
+    spots = materialise(spots, "prints")
+    repeated = materialise(spots.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low"), "repeated")
+    found = spots.join(repeated.hint("merge"), "low", "left_semi").select("doc_id", "th", F.explode("windows").alias("w")).select("doc_id", "th", "w.*", F.size("w.ats").alias("k"))
+    found = materialise(found, "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", F.col("ats")[0].alias("at"))
+    alike = ["gram", "gram2", "k"]
+    first = materialise(found.groupBy(*alike).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    later = found.join(first.hint("merge"), alike).where(place > F.col("first"))
     gone = later.select("doc_id", "th", F.explode("ats").alias("at")).groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     gone = gone.withColumnRenamed("doc_id", "of").withColumnRenamed("th", "of_th")
-    joined = whole.join(gone, whole["doc_id"].eqNullSafe(gone["of"]) & (whole["th"] == gone["of_th"]), "left")
+    joined = whole.join(gone.hint("merge"), whole["doc_id"].eqNullSafe(gone["of"]) & (whole["th"] == gone["of_th"]), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     return joined.select(
         "doc_id",

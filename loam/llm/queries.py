@@ -61,11 +61,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9 = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 f AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 AS long FROM f WHERE line <> ''),
-w AS (SELECT doc_id, pos, k, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS gram FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-g AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS i FROM w WHERE gram IS NOT NULL) WHERE i > 1),
-o AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS i FROM n WHERE long) WHERE i > 1),
-gone AS (SELECT DISTINCT n.doc_id, n.pos FROM n JOIN (SELECT doc_id, k FROM g UNION SELECT doc_id, k + 1 FROM g UNION SELECT doc_id, k + 2 FROM g UNION SELECT doc_id, k FROM o) x ON n.doc_id = x.doc_id AND n.k = x.k)
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM f WHERE line <> ''),
+w AS (SELECT doc_id, pos, k, 3 AS m, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS gram FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT * FROM (SELECT doc_id, pos, k, 2 AS m, CASE WHEN words + lead(words) OVER d >= 50 THEN line || chr(10) || lead(line) OVER d END AS gram FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
+  UNION ALL SELECT doc_id, pos, k, 1 AS m, line AS gram FROM n WHERE words >= 50),
+g AS (SELECT doc_id, k, m FROM (SELECT *, row_number() OVER (PARTITION BY m, gram ORDER BY doc_id, pos) AS i FROM w WHERE gram IS NOT NULL) WHERE i > 1),
+gone AS (SELECT DISTINCT n.doc_id, n.pos FROM n JOIN (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS k FROM g) x ON n.doc_id = x.doc_id AND n.k = x.k)
 SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '')) AS text_sha256
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id
 """

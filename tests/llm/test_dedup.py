@@ -43,23 +43,21 @@ def brute_lines(rows, run=3, long_words=50):
         lines = (text or "").split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
         gone = set()
-        for k, i in enumerate(at):
-            if len(lines[i].split()) >= long_words:
-                key = lines[i].strip(" \t\x0b\x0c\r")
+        for size in range(1, run + 1):  # all windows of all documents; the shorter ones only with enough words
+            for k in range(len(at) - size + 1):
+                window = at[k : k + size]
+                if size < run and sum(len(lines[j].split()) for j in window) < long_words:
+                    continue
+                key = tuple(lines[j].strip(" \t\x0b\x0c\r") for j in window)
                 if key in seen:
-                    gone.add(i)
-                seen.add(key)
-            if k + run <= len(at):
-                key = tuple(lines[j].strip(" \t\x0b\x0c\r") for j in at[k : k + run])
-                if key in seen:
-                    gone.update(at[k : k + run])
+                    gone.update(window)
                 seen.add(key)
         out[doc_id] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "b", " c ", "", "d", "e" * 9, "w " * 60]), max_size=12), min_size=1, max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", " c ", "", "d", "e" * 9, "w " * 60, "v " * 30, "u " * 24]), max_size=12), min_size=1, max_size=6))
 def test_line_dedup(spark, texts):
     rows = list(enumerate("\n".join(t) for t in texts))
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(docs(spark, rows)).collect()}
@@ -74,6 +72,21 @@ def test_line_dedup_edges(spark):
     assert line_dedup(docs(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_runs(spark):
+    """Runs longer than a window, a very common line, and passages of two lines of fewer than 50 words each."""
+    random = np.random.default_rng(11)
+    long = [f"line {i} of the run" for i in range(30)]
+    two = [" ".join(f"a{i}" for i in range(28)), " ".join(f"b{i}" for i in range(27))]
+    rows = []
+    for i in range(60):
+        own = [f"own {i} {j}" for j in range(int(random.integers(0, 4)))]
+        at, n = int(random.integers(0, 25)), int(random.integers(0, 30))
+        rows.append((i, "\n".join([*own, "common", *long[at : at + n], *(two if i % 4 == 0 else two[: i % 2]), "common", "common", *own[:1]])))
+    wanted = brute_lines(rows)
+    assert wanted[4][1] > 0 and sum(x[1] for x in wanted.values()) > 300
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(docs(spark, rows)).collect()} == wanted
+
+
 @pytest.mark.parametrize("pair", [(50991, 387784), (202597, 252832)])
 def test_line_dedup_tells_long_lines_apart(spark, pair):
     a, b = ("w " * 49 + f"n{x}" for x in pair)  # the 32-bit hashes of their 64-bit hashes are equal
